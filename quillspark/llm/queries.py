@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm.linkage import address_key, link, records, resolver_id
 from quillspark.llm.mapping import map_names, reference_rows
+from quillspark.operators.times import normal_time
 from quillspark.session import table
 
 
@@ -18,4 +20,23 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return map_names(rows, "analyte_raw", reference, usage).select("seq", F.coalesce("mapped_key", F.lit("none")).alias("analyte_key"))
 
 
-QUERIES = {"p3_found": p3_found}
+def works(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The records of both catalogues of works, with addresses and dates in one form."""
+    sites = table(spark, d, "source_sites").groupBy("site_name").agg(F.min("timezone").alias("_zone"), F.min("date_order").alias("_order"), F.min("site_id").alias("_site"))
+    hosts = table(spark, d, "source_sites").groupBy(F.col("site_id").alias("_resolver")).agg(F.min(F.concat(F.lower(F.split("site_name", " ")[0]), F.lit(".example"))).alias("_host"))
+    snapshots = table(spark, d, "evidence_snapshot").select("evidence_id", "title", "url", "published_at", "organization").join(sites, F.col("organization") == F.col("site_name"), "left")
+    snapshots = snapshots.withColumn("_time", normal_time(F.col("published_at"), F.coalesce("_zone", F.lit("Etc/UTC")), F.col("_order")))
+    sources = table(spark, d, "scientific_source").select("source_id", "title", "url", "published_at", "organization").join(sites, F.col("organization") == F.col("site_name"), "left")
+    sources = sources.withColumn("_time", normal_time(F.col("published_at"), F.coalesce("_zone", F.lit("Etc/UTC")), F.lit("DMY")))
+    sources = sources.withColumn("_resolver", resolver_id(F.col("url"))).join(hosts, "_resolver", "left")
+    left = records(snapshots, "evidence_id", "title", address_key(F.col("url"), F.lit(None).cast("string")), F.col("_time.norm"), "l")
+    right = records(sources, "source_id", "title", address_key(F.col("url"), F.col("_host")), F.col("_time.norm"), "r")
+    return left, right
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of the same work in the two catalogues."""
+    return link(*works(spark, d)).select(F.col("left_id").alias("evidence_id"), F.col("right_id").alias("source_id"))
+
+
+QUERIES = {"p5_found": p5_found, "p3_found": p3_found}
