@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm.leakage import leaks
 from quillspark.llm.linkage import address_key, link, records, resolver_id
 from quillspark.llm.mapping import map_names, reference_rows
+from quillspark.llm.reading import reading_levels
 from quillspark.operators.times import normal_time
 from quillspark.session import table
 
@@ -39,4 +41,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return link(*works(spark, d)).select(F.col("left_id").alias("evidence_id"), F.col("right_id").alias("source_id"))
 
 
-QUERIES = {"p5_found": p5_found, "p3_found": p3_found}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every document that repeats two fifths of a test item's case, with the item."""
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The reading level of every document of at least 40 words that has no editor's label."""
+    documents, labels = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "reading_labels")
+    rest = documents.join(labels.select("doc_id"), "doc_id", "left_anti")
+    levels = reading_levels(rest, documents.join(labels, "doc_id"), "text", "reading_level", min_words=40)
+    return levels.where("reading_level is not null").select("doc_id", F.col("reading_level").cast("bigint"))
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found}
