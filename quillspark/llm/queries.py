@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.leakage import leaks
 from quillspark.llm.linkage import address_key, link, records, resolver_id
 from quillspark.llm.mapping import map_names, reference_rows
+from quillspark.llm.packing import pack, token_counts
 from quillspark.llm.reading import reading_levels
 from quillspark.operators.times import normal_time
 from quillspark.session import table
@@ -41,6 +42,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return link(*works(spark, d)).select(F.col("left_id").alias("evidence_id"), F.col("right_id").alias("source_id"))
 
 
+def p6_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """Every text put into standard containers."""
+    capacity = table(spark, d, "containers").where("container_kind = 'standard'").agg(F.min("capacity_tokens")).first()[0]
+    return pack(token_counts(table(spark, d, "documents").select("doc_id", "text"), "text"), "doc_id", "tokens", capacity)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Every document that repeats two fifths of a test item's case, with the item."""
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text")
@@ -54,4 +61,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return levels.where("reading_level is not null").select("doc_id", F.col("reading_level").cast("bigint"))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_assignment": p6_assignment, "p7_found": p7_found, "p8_found": p8_found}
