@@ -1,5 +1,5 @@
 """Registered queries and their SQL."""
 
-from quillspark.queries import problems
+from quillspark.queries import problems, texts, values
 
-MODULES = [problems]
+MODULES = [problems, texts, values]
