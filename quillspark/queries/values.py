@@ -390,7 +390,7 @@ SQL = {
         s AS (SELECT document_id, {_ACTIVE} AS status FROM d), a AS ({_EDGES}), e AS (SELECT a.* FROM a SEMI JOIN d ON a.source = d.document_id), e2 AS (SELECT e.* FROM e SEMI JOIN d ON e.target = d.document_id), {_CLOSURE.replace(" e ", " e2 ").replace("e.", "e2.")}
         SELECT document_id, CASE WHEN status = 'active' AND document_id IN (SELECT node FROM gone) THEN 'superseded' ELSE status END AS status FROM s""",
     "ranked_evidence": f"""
-        SELECT DISTINCT evidence_id, {_WEIGHT} AS weight, CASE WHEN regexp_full_match(published_at[1:4], '[0-9]{4}') THEN published_at[1:4]::INT ELSE 0 END AS year FROM evidence_snapshot ORDER BY weight DESC, year DESC, evidence_id LIMIT 100""",
+        SELECT DISTINCT evidence_id, {_WEIGHT} AS weight, CASE WHEN regexp_full_match(published_at[1:4], '[0-9]{{4}}') THEN published_at[1:4]::INT ELSE 0 END AS year FROM evidence_snapshot ORDER BY weight DESC, year DESC, evidence_id LIMIT 100""",
     "evidence_page": "SELECT snapshot_id, evidence_id FROM evidence_snapshot WHERE snapshot_id > 'es-00000100' ORDER BY snapshot_id LIMIT 51",
     "recent_orders": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS order_day FROM orders ORDER BY o_orderdate::DATE DESC, o_orderkey DESC LIMIT 20",
     "allowed_hosts": r"""
