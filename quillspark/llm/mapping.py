@@ -324,5 +324,6 @@ def _map_by_join(typed: DataFrame, text: str, reference: DataFrame, usage: DataF
     found = found.join(keys, ["base", "qualifier"], "left").join(usage, "key", "left")
     best = found.groupBy("_text").agg(F.min_by("key", F.struct("_cost", -F.coalesce("n", F.lit(0)), "base")).alias("_best"))
     coded = texts.where("qualifier = ''").join(codes, "code").select("_text", F.col("key").alias("_coded"))
-    answer = best.join(coded, "_text", "full_outer").select(F.col("_text").alias("_answered"), F.coalesce("_coded", "_best").alias(out))
-    return typed.join(answer, F.col(text) == F.col("_answered"), "left").drop("_answered")
+    answer = best.join(coded, "_text", "full_outer").select(F.col("_text").alias("__typed_text__"), F.coalesce("_coded", "_best").alias("__mapped_key__"))
+    joined = typed.join(answer, F.col(text) == F.col("__typed_text__"), "left").withColumn(out, F.col("__mapped_key__"))
+    return joined.drop("__typed_text__", "__mapped_key__")
