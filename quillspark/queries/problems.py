@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.operators.guidelines import document_history
 from quillspark.operators.times import with_normal_time
 from quillspark.operators.units import label_parts, value_milli
+from quillspark.queries import times_sql
 from quillspark.session import table
 
 
@@ -55,3 +56,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found}
+
+VERSION = r"nullif(regexp_replace(regexp_replace(lower({0}), '[\s\x{00a0}]+', '', 'g'), '^(version|vers|ver|v)[.:]?([0-9])', '\2'), '')"
+STATUS = r"nullif(replace(trim(regexp_replace(lower({0}), '[\s\x{00a0}_-]+', ' ', 'g')), ' ', '_'), '')"
+SQL = {"p1_found": times_sql.p1(VERSION.replace("{0}", "version"), STATUS.replace("{0}", "declared_status")), "p4_found": times_sql.P4}
