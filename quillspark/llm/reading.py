@@ -258,8 +258,10 @@ def reading_levels(documents: DataFrame, labelled: DataFrame, text: str, label:
     text gets the only one, or null. Other columns, repeated rows and empty tables are kept as they are.
     """
     spark = documents.sparkSession
-    sample = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.xxhash64(order).alias("_h"), F.col(order).alias("_i"), F.col(text).alias("_t"), F.col(label).cast("int").alias("_l"))
-    rows = sample.orderBy("_h", "_i", "_t").limit(max_labels).collect()
+    usable = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull() & F.col(order).isNotNull())
+    picked = usable.select(F.col(order).alias("_i")).distinct().orderBy(F.xxhash64("_i"), "_i").limit(max_labels)  # ids alone are sorted out
+    texts = usable.join(F.broadcast(picked), F.col(order) == F.col("_i")).groupBy("_i").agg(F.min(F.struct(F.col(text).alias("_t"), F.col(label).cast("int").alias("_l"))).alias("_v"))
+    rows = texts.select("_i", "_v.*").orderBy("_i").collect()
     kinds = {r["_l"] for r in rows}
     if len(kinds) < 2:
         only = F.lit(next(iter(kinds), None)).cast("int")
