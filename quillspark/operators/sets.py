@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,6 +59,40 @@ def prefix_breaks(base: DataFrame, current: DataFrame, order: str, columns: list
     return joined.where(~F.col("_db").eqNullSafe(F.col("_dc"))).select(F.col("_b").alias(order))
 
 
+def ordinals(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """df with ordinal, from 0 in order within each group. The window numbers the rows of one group."""
+    return df.withColumn("ordinal", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
+
+
+def snapshot_check(entries: DataFrame, snapshots: DataFrame, key: str, size: str) -> DataFrame:
+    """Rows (key, complete): whether a snapshot's entries are numbered 0 to count - 1 and sum up to what it states.
+
+    snapshots has key, source_count, total_bytes; a snapshot without entries is complete when it states 0 and 0.
+    """
+    sums = entries.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("ordinal").alias("_d"), F.min("ordinal").alias("_lo"), F.max("ordinal").alias("_hi"), F.sum(size).alias("_s"))
+    joined = snapshots.join(sums, F.col(key) == F.col("_k"), "left")
+    whole = (F.col("_n") == F.col("source_count")) & (F.col("_d") == F.col("_n")) & (F.col("_lo") == 0) & (F.col("_hi") == F.col("_n") - 1) & (F.col("_s") == F.col("total_bytes"))
+    return joined.select(key, F.when(F.col("_n").isNull(), (F.col("source_count") == 0) & (F.col("total_bytes") == 0)).otherwise(F.coalesce(whole, F.lit(False))).alias("complete"))
+
+
+def first_appearances(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Rows (key, order): where each key stands first; keys in that order are the list without repeats."""
+    place = F.struct(*order)
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(place).alias("_p")).select(key, *(F.col("_p")[c].alias(c) for c in order))
+
+
+def term_candidates(terms: DataFrame, term: str, catalog: DataFrame, key: str, names: Column) -> DataFrame:
+    """Rows (term, n, keys) of distinct terms: the catalogue keys that have a name equal to it but for case and blanks.
+
+    Ambiguous terms keep all their keys, in order; unknown ones have none.
+    """
+    folded = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    known = catalog.select(F.col(key).alias("_key"), F.explode(names).alias("_n")).where("_n is not null").select("_key", folded(F.col("_n")).alias("_f")).distinct()
+    asked = terms.select(F.col(term)).where(F.col(term).isNotNull()).distinct().withColumn("_t", folded(F.col(term)))
+    found = asked.join(known, F.col("_t") == F.col("_f"), "left").groupBy(term).agg(F.array_sort(F.collect_set("_key")).alias("keys"))
+    return found.select(term, F.size("keys").alias("n"), "keys")
+
+
 def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (key, class_id, copies): one for each text; class_id is the smallest key of the texts that are the same.
 

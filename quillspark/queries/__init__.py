@@ -1,5 +1,5 @@
 """Registered queries and their SQL."""
 
-from quillspark.queries import problems, texts, values
+from quillspark.queries import problems, structure, texts, values
 
-MODULES = [problems, texts, values]
+MODULES = [problems, texts, values, structure]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 from collections.abc import Iterator
 from pathlib import Path
@@ -62,6 +64,41 @@ def decoded(content: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+CELLS = T.ArrayType(T.StructType([T.StructField("row_no", T.IntegerType()), T.StructField("line_start", T.IntegerType()), T.StructField("line_end", T.IntegerType()), T.StructField("cells", T.ArrayType(T.StringType()))]))
+
+
+@F.pandas_udf(CELLS)
+def quoted_rows(text: pd.Series) -> pd.Series:
+    """Rows of a quoted delimited text with the lines each spans; short rows are filled up to the widest.
+
+    The delimiter is the one of tab, semicolon, comma and bar that the first line has most of, comma where it has none.
+    Null stays null; a text with an unclosed quote gives the rows that csv reads.
+    """
+    out = []
+    for t in text:
+        if t is None:
+            out.append(None)
+            continue
+        head = t.split("\n", 1)[0]
+        reader = csv.reader(io.StringIO(t, newline=""), delimiter=max(",\t;|", key=head.count))
+        csv.field_size_limit(1 << 30)
+        rows, last = [], 0
+        for cells in reader:
+            if any(c.strip() for c in cells):
+                rows.append((len(rows) + 1, last + 1, reader.line_num, cells))
+            last = reader.line_num
+        width = max((len(r[3]) for r in rows), default=0)
+        out.append([(n, a, b, c + [""] * (width - len(c))) for n, a, b, c in rows])
+    return pd.Series(out, dtype=object)
+
+
+def abstract_sections(df: DataFrame, key: str, xml: str) -> DataFrame:
+    """Rows (key, position, label, text) of the abstract of a recorded article in XML; broken XML gives no row."""
+    usable = df.where(F.col(xml).isNotNull() & F.trim(xml).startswith("<"))
+    pairs = F.arrays_zip(F.xpath(F.col(xml), F.lit("//AbstractText/@Label")).alias("label"), F.xpath(F.col(xml), F.lit("//AbstractText/text()")).alias("text"))
+    return usable.select(key, F.posexplode(pairs).alias("position", "v")).select(key, "position", "v.label", "v.text")
+
+
 DOCUMENT = "document_id string, series_id string, title string, issuer string, version string, jurisdictions array<string>, published_on date, effective_from date, effective_until date, withdrawn_on date, declared_status string, last_checked_at timestamp"
 RELATION = "source_document_id string, target_document_id string, relation_type string, effective_from date, affected_recommendation_keys array<string>, provenance_note string"
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,6 +9,21 @@ from pyspark.sql.streaming import StreamingQuery
 from quillspark.operators.logs import latest
 
 
+def _states(spark: SparkSession, path: str) -> list[str]:
+    """The state folders under a path in any file system that Spark reads, oldest first."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    return sorted(str(x.getPath()) for x in fs.listStatus(folder) if x.getPath().getName().startswith("state="))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def keep_latest(stream: DataFrame, keys: list[str], order: str, columns: list[str], path: str, checkpoint: str) -> StreamingQuery:
     """Keeps the row of the highest order of each key in Parquet under path.
 
@@ -21,20 +33,20 @@ def keep_latest(stream: DataFrame, keys: list[str], order: str, columns: list[st
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = [p for p in sorted(Path(path).glob("state=*")) if int(p.name[6:]) < number]
+        before = [p for p in _states(spark, path) if int(p.rpartition("=")[2]) < number]
         rows = batch.select(*keys, order, *columns)
         if before:
-            rows = rows.unionByName(spark.read.parquet(str(before[-1])).select(*keys, order, *columns))
+            rows = rows.unionByName(spark.read.parquet(before[-1]).select(*keys, order, *columns))
         latest(rows, keys, order, columns).write.mode("overwrite").parquet(f"{path}/state={number:010d}")
         for old in before[:-1]:
-            shutil.rmtree(old)
+            _remove(spark, old)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
     """The newest state that keep_latest has written."""
-    return spark.read.parquet(str(max(Path(path).glob("state=*"))))
+    return spark.read.parquet(_states(spark, path)[-1])
 
 
 def first_contents(stream: DataFrame, content: str, at: str, delay: str) -> DataFrame:

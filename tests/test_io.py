@@ -78,3 +78,16 @@ def test_streams(spark, tmp_path):
     counts = ST.counts_by_window(read(), "at", "1 hour", "1 minute", ["k"]).writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", mark + "3").trigger(availableNow=True).start()
     counts.awaitTermination()
     assert sorted((r.k, r.n) for r in spark.table("counts").collect()) == [("a", 2), ("b", 2)]
+
+
+def test_quoted_rows(spark):
+    texts = ['a;b;c\n1;"x\ny";3\n\n4;5', "", None, 'p,q\n"1","2,5"', "one"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", FI.quoted_rows("t").alias("r")).orderBy("i")
+    got = [None if r.r is None else [tuple(x) for x in r.r] for r in df.collect()]
+    assert got == [[(1, 1, 1, ["a", "b", "c"]), (2, 2, 3, ["1", "x\ny", "3"]), (3, 5, 5, ["4", "5", ""])], [], None, [(1, 1, 1, ["p", "q"]), (2, 2, 2, ["1", "2,5"])], [(1, 1, 1, ["one"])]]
+
+
+def test_abstracts(spark):
+    xml = '<A><Abstract><AbstractText Label="AIM">x</AbstractText><AbstractText Label="RESULT">y</AbstractText></Abstract></A>'
+    rows = FI.abstract_sections(spark.createDataFrame([(1, xml), (2, None), (3, "no xml")], "k int, x string"), "k", "x").collect()
+    assert [(r.k, r.position, r.label, r.text) for r in rows] == [(1, 0, "AIM", "x"), (1, 1, "RESULT", "y")]
