@@ -48,12 +48,13 @@ _ALIKE = {v: k for k, v in reversed(LOOKALIKES.items()) if k in "аеорсху
 
 
 def _one_script(word: str) -> str:
-    """A word whose look-alike letters are of the script that most of its unmistakable letters are of."""
-    cyrillic = sum("а" <= c <= "ё" and c not in LOOKALIKES for c in word)
-    latin = sum("a" <= c <= "z" and c not in _ALIKE for c in word)
-    if cyrillic > latin:
+    """A word in one script: the one of its unmistakable letters, or Cyrillic where a single letter of it is Latin."""
+    latin = [c for c in word if "a" <= c <= "z"]
+    cyrillic = [c for c in word if "а" <= c <= "ё"]
+    sure_latin, sure_cyrillic = sum(c not in _ALIKE or c in "ijs" for c in latin), sum(c not in LOOKALIKES for c in cyrillic)
+    if sure_cyrillic > sure_latin or len(latin) == 1 and len(cyrillic) >= 4:
         return "".join(_ALIKE.get(c, c) for c in word)
-    return "".join(LOOKALIKES.get(c, c) for c in word) if latin or len(word) <= 4 else word
+    return "".join(LOOKALIKES.get(c, c) for c in word) if latin or not sure_cyrillic and len(word) <= 4 else word
 
 
 def fold(text: str) -> str:
@@ -182,10 +183,9 @@ def cost(typed: Typed, name: str) -> float | None:
     if s == r:
         return 0.0
     best = None
-    if abs(len(s) - len(r)) <= EDITS:
-        d = min(distance(s, r), distance(raw, ref))
-        if d <= min(allowed(len(s)), allowed(len(r))):
-            best = d
+    d = min(distance(s, r), distance(raw, ref))
+    if d <= min(allowed(len(raw)), allowed(len(ref))):
+        best = d
     if typed.short and 4 <= len(s) < len(r):
         d = min(distance(x, y[:k]) for x, y in {(s, r), (raw, ref)} for k in range(max(4, len(x) - 1), min(len(y), len(x) + 1) + 1))
         if d == 0 or d <= 1 and len(s) >= 6:
