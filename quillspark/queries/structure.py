@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.identity import canonical_json, stable_id
 from quillspark.operators import geometry as GEO
 from quillspark.operators import sets as S
+from quillspark.operators import tables as TB
 from quillspark.session import ensure_checkpoint_dir, table
 from quillspark.streaming.folds import keep_latest, read_latest
 
@@ -73,6 +74,13 @@ def canonical_props(spark, d):
     return table(spark, d, "events").select("event_id", canonical_json("props").alias("props"))
 
 
+def stated_ranges(spark, d):
+    """Imported values that state a range or a limit, as bounds."""
+    parts = TB.reference_interval(F.col("value"))
+    rows = table(spark, d, "ingest").select("row_id", *(c.alias(n) for n, c in parts.items())).where("low is not null or high is not null")
+    return rows.select("row_id", F.coalesce("low", F.lit("")).alias("low"), F.coalesce("high", F.lit("")).alias("high"))
+
+
 def streamed_latest(spark, d):
     """The latest event of each user, kept by a stream over the events."""
     source = f"{d}/events.parquet"
@@ -83,7 +91,7 @@ def streamed_latest(spark, d):
     return read_latest(spark, f"{place}/state")
 
 
-QUERIES = {f.__name__: f for f in (boxes_contained, box_columns, box_segments, box_lines, snapshot_check, first_appearances, term_candidates, content_ids, canonical_props, streamed_latest)}
+QUERIES = {f.__name__: f for f in (boxes_contained, box_columns, box_segments, box_lines, snapshot_check, first_appearances, term_candidates, content_ids, canonical_props, stated_ranges, streamed_latest)}
 
 _BOXES = "b AS (SELECT p_partkey // 50 AS page, p_partkey AS block, (p_partkey * 37 % 500)::DOUBLE AS x, (p_partkey * 61 % 700)::DOUBLE AS y, p_size + 10.0::DOUBLE AS w, 12.0::DOUBLE AS h FROM part)"
 _REGIONS = "r AS (SELECT region, region % 2 * 250.0 AS rx, region // 2 * 350.0 AS ry FROM range(4) t(region))"
@@ -103,5 +111,8 @@ SQL = {
         t AS (SELECT DISTINCT analyte_raw, lower(trim(regexp_replace(analyte_raw, '\s+', ' ', 'g'), ' ')) AS f FROM private_answers WHERE analyte_raw IS NOT NULL)
         SELECT analyte_raw, count(k)::INT AS n, coalesce(string_agg(k, ',' ORDER BY k), '') AS keys FROM t LEFT JOIN n USING (f) GROUP BY analyte_raw""",
     "content_ids": "SELECT seq, 'ev_' || sha256(concat_ws(chr(0), coalesce('+' || title, '-'), coalesce('+' || url, '-'), coalesce('+' || published_at, '-')))[1:32] AS content_id FROM evidence_snapshot",
+    "stated_ranges": rf"""
+        WITH v AS (SELECT row_id, value, regexp_extract(value, '{TB.BETWEEN}', 1) AS a, regexp_extract(value, '{TB.BETWEEN}', 2) AS b, regexp_extract(value, '{TB.ONE_SIDED}', 1) AS s, regexp_extract(value, '{TB.ONE_SIDED}', 2) AS c FROM ingest)
+        SELECT row_id, replace(CASE WHEN a <> '' THEN a WHEN s IN ('>', '>=', '≥') THEN c ELSE '' END, ',', '.') AS low, replace(CASE WHEN b <> '' THEN b WHEN s IN ('<', '<=', '≤') THEN c ELSE '' END, ',', '.') AS high FROM v WHERE a <> '' OR c <> ''""",
     "streamed_latest": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
 }
