@@ -120,12 +120,30 @@ INSTRUCTIONS = {
     "reveal": r"(?i)\b(reveal|print|show)\b.{0,30}\b(system prompt|hidden prompt)\b",
 }
 
+# Letters in lower case without which a pattern above can't match.
+NEEDED = {"email": ["@"], "phone": ["+"], "record_number": ["mrn", "record no", "patient id"], "local_path": ["/home/", "/users/", ":\\"], "ignore_previous": ["instruction"], "role_change": ["you are now", "act as"], "reveal": ["prompt"]}
+
 
 def finding_counts(df: DataFrame, key: str, text: str, patterns: dict[str, str] | None = None) -> DataFrame:
-    """Rows (key, kind, n) of texts that match a pattern, for each kind how often."""
+    """Rows (key, kind, n) of texts that match a pattern, for each kind how often.
+
+    A pattern runs only over texts that have the letters it needs.
+    """
     kinds = patterns or (IDENTIFIERS | INSTRUCTIONS)
-    counts = F.array(*(F.struct(F.lit(k).alias("kind"), F.regexp_count(F.col(text), F.lit(p)).alias("n")) for k, p in kinds.items()))
-    return df.where(F.col(text).isNotNull()).select(key, F.inline(F.filter(counts, lambda x: x["n"] > 0)))
+
+    def count(kind: str, pattern: str) -> Column:
+        found = F.regexp_count(F.col(text), F.lit(pattern))
+        if patterns or kind not in NEEDED:
+            return found
+        may = None
+        for x in NEEDED[kind]:
+            one = F.contains(F.col("_lower"), F.lit(x))
+            may = one if may is None else may | one
+        return F.when(may, found).otherwise(0)
+
+    counts = F.array(*(F.struct(F.lit(k).alias("kind"), count(k, p).alias("n")) for k, p in kinds.items()))
+    rows = df.where(F.col(text).isNotNull()).select(key, text, F.lower(text).alias("_lower"))
+    return rows.select(key, F.inline(F.filter(counts, lambda x: x["n"] > 0)))
 
 
 def merged_spans(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
