@@ -48,25 +48,54 @@ def line_candidates(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def delimited_cells(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (key, row_no, column_no, header, value) of delimited texts.
+def _table_lines(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (key, line_no, line, _blank, _head, _mark, _first) of the lines of delimited texts.
 
-    The delimiter is the one of tab, semicolon, comma and bar that the first line has most of (at least one); the first
-    line is the header. Blank lines and cells beyond the header are kept out and counted by delimited_issues.
+    The empty piece after the last line end is no line.
     """
-    lines = text_lines(df, key, text).where(~F.col("line").rlike(BLANK))
-    first = lines.groupBy(key).agg(F.min_by("line", "line_no").alias("_head"), F.min("line_no").alias("_first"))
+    lines = text_lines(df, key, text).withColumn("_blank", F.col("line").rlike(BLANK))
+    said = lines.where(~F.col("_blank"))
+    first = said.groupBy(key).agg(F.min_by("line", "line_no").alias("_head"), F.min("line_no").alias("_first"))
     count = lambda c: F.length("_head") - F.length(F.replace(F.col("_head"), F.lit(c), F.lit("")))
     marks = {"\t": count("\t"), ";": count(";"), ",": count(","), "|": count("|")}
     best = F.greatest(*marks.values())
     mark = F.coalesce(*(F.when((n == best) & (best > 0), F.lit(m)) for m, n in marks.items()))
-    parts = lambda c: F.transform(F.split(c, F.concat(F.lit("["), F.col("_mark"), F.lit("]"))), lambda x: F.trim(x))
-    tabled = lines.join(first.withColumn("_mark", mark).where("_mark is not null"), key).where(F.col("line_no") > F.col("_first"))
-    cells = tabled.select(key, "line_no", parts(F.col("_head")).alias("_names"), F.posexplode(parts(F.col("line"))).alias("_at", "value"))
+    last = lines.groupBy(key).agg(F.max("line_no").alias("_last"))
+    tables = first.withColumn("_mark", mark).where("_mark is not null").join(last, key)
+    return lines.join(tables, key).where((F.col("line") != "") | (F.col("line_no") < F.col("_last"))).drop("_last")
+
+
+def _parts(line: str) -> Column:
+    return F.transform(F.split(F.col(line), F.concat(F.lit("["), F.col("_mark"), F.lit("]"))), lambda x: F.trim(x))
+
+
+def delimited_cells(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (key, row_no, column_no, header, value) of delimited texts.
+
+    The delimiter is the one of tab, semicolon, comma and bar that the first line has most of (at least one); the first
+    line is the header. Blank lines and cells beyond the header are kept out and stand in delimited_issues.
+    """
+    tabled = _table_lines(df, key, text).where(~F.col("_blank") & (F.col("line_no") > F.col("_first")))
+    cells = tabled.select(key, "line_no", _parts("_head").alias("_names"), F.posexplode(_parts("line")).alias("_at", "value"))
     header = F.get("_names", F.col("_at"))
     return cells.where(header.isNotNull()).select(key, F.col("line_no").alias("row_no"), (F.col("_at") + 1).alias("column_no"), header.alias("header"), "value")
 
 
+def delimited_issues(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (key, row_no, column_no, reason, header, value): what delimited_cells leaves out of the same texts.
+
+    A surplus_cell has its value and no header, a missing_cell (the line ends before it) its header and no value; a
+    blank_line has neither and no column. With the cells, every cell of a delimited text stands in one of the two.
+    """
+    at, names, parts = F.col("_at"), F.size("_names"), F.size("_parts")
+    rows = _table_lines(df, key, text).where(F.col("_blank") | (F.col("line_no") > F.col("_first")))
+    rows = rows.select(key, "line_no", "_blank", _parts("_head").alias("_names"), _parts("line").alias("_parts"))
+    blank = rows.where("_blank").select(key, F.col("line_no").alias("row_no"), F.lit(None).cast("int").alias("column_no"), F.lit("blank_line").alias("reason"), F.lit(None).cast("string").alias("header"), F.lit(None).cast("string").alias("value"))
+    other = rows.where(~F.col("_blank") & (names != parts)).select(key, "line_no", "_names", "_parts", F.explode(F.sequence(F.least(names, parts), F.greatest(names, parts) - 1)).alias("_at"))
+    reason = F.when(at >= names, "surplus_cell").otherwise("missing_cell")
+    return other.select(key, F.col("line_no").alias("row_no"), (at + 1).alias("column_no"), reason.alias("reason"), F.get("_names", at).alias("header"), F.get("_parts", at).alias("value")).unionByName(blank)
+
+
 def fragments(df: DataFrame, key: str, text: str, size: int = 1600) -> DataFrame:
     """Rows (key, fragment_no, previous_no, next_no, n_chars, fragment): a text in order, in pieces of at most size characters."""
     n = F.ceil(F.length(text) / F.lit(size)).cast("int")

@@ -31,6 +31,11 @@ def delimited_cells(spark, d):
     return X.delimited_cells(documents(spark, d), "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("cells"), F.max("column_no").alias("columns"))
 
 
+def delimited_issues(spark, d):
+    rows = X.delimited_issues(documents(spark, d), "doc_id", "text")
+    return rows.select("doc_id", "row_no", F.coalesce("column_no", F.lit(0)).alias("column_no"), "reason", F.coalesce("header", F.lit("")).alias("header"), F.coalesce("value", F.lit("")).alias("value"))
+
+
 def text_fragments(spark, d):
     rows = X.fragments(documents(spark, d), "doc_id", "text")
     return rows.select("doc_id", "fragment_no", F.coalesce("previous_no", F.lit(0)).alias("previous_no"), F.coalesce("next_no", F.lit(0)).alias("next_no"), "n_chars", F.sha2("fragment", 256).alias("digest"))
@@ -89,7 +94,7 @@ def unit_inventory(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (paragraph_blocks, line_candidates, delimited_cells, text_fragments, search_totals, search_first, title_search, finding_counts, redaction_log, redacted_texts, csv_cells, search_terms, duplicate_texts, unit_inventory)
+    for f in (paragraph_blocks, line_candidates, delimited_cells, delimited_issues, text_fragments, search_totals, search_first, title_search, finding_counts, redaction_log, redacted_texts, csv_cells, search_terms, duplicate_texts, unit_inventory)
 }
 
 _KINDS = X.IDENTIFIERS | X.INSTRUCTIONS
@@ -106,6 +111,15 @@ SQL = {
         WITH l AS ({NUMBERED}), c AS (SELECT *, regexp_matches(line, '{_KEYED}') AS f FROM l WHERE NOT regexp_full_match(line, '\\s*'))
         SELECT doc_id, line_no, CASE WHEN f THEN 'field' ELSE 'statement' END AS kind, CASE WHEN f THEN regexp_extract(line, '{_KEYED}', 1) ELSE '' END AS field_name,
         length(CASE WHEN f THEN regexp_extract(line, '{_KEYED}', 2) ELSE trim(line, ' ') END) AS n_chars FROM c""",
+    "delimited_issues": f"""
+        WITH l AS ({NUMBERED}), b AS (SELECT *, regexp_full_match(line, '\\s*') AS blank, max(line_no) OVER (PARTITION BY doc_id) AS last FROM l),
+        h AS (SELECT doc_id, arg_min(line, line_no) AS head, min(line_no) AS first FROM b WHERE NOT blank GROUP BY doc_id),
+        n AS (SELECT *, list_transform([chr(9), ';', ',', '|'], lambda c: length(head) - length(replace(head, c, ''))) AS k FROM h),
+        m AS (SELECT doc_id, first, head, [chr(9), ';', ',', '|'][list_position(k, list_max(k))] AS mark FROM n WHERE list_max(k) > 0),
+        r AS (SELECT doc_id, line_no, blank, string_split(head, mark) AS names, string_split(line, mark) AS parts FROM b JOIN m USING (doc_id) WHERE (blank OR line_no > first) AND (line <> '' OR line_no < last)),
+        c AS (SELECT *, unnest(generate_series(least(len(names), len(parts)) + 1, greatest(len(names), len(parts)))) AS i FROM r WHERE NOT blank)
+        SELECT doc_id, line_no AS row_no, i AS column_no, CASE WHEN i > len(names) THEN 'surplus_cell' ELSE 'missing_cell' END AS reason, coalesce(trim(names[i], ' '), '') AS header, coalesce(trim(parts[i], ' '), '') AS value FROM c
+        UNION ALL SELECT doc_id, line_no, 0, 'blank_line', '', '' FROM r WHERE blank""",
     "text_fragments": """
         WITH f AS (SELECT doc_id, text, ceil(length(text) / 1600.0)::INT AS k, unnest(generate_series(1, ceil(length(text) / 1600.0)::INT)) AS fragment_no FROM documents WHERE length(text) > 0)
         SELECT doc_id, fragment_no, fragment_no - 1 AS previous_no, CASE WHEN fragment_no < k THEN fragment_no + 1 ELSE 0 END AS next_no,

@@ -40,6 +40,12 @@ def test_delimited(spark):
     assert got == [(1, 2, 1, "item", "A"), (1, 2, 2, "value", "5,1"), (1, 2, 3, "unit", "mg/L"), (1, 3, 1, "item", "B"), (1, 3, 2, "value", "7"), (1, 3, 3, "unit", ""), (3, 2, 1, "a", "1"), (3, 2, 2, "b", "2")]
 
 
+def test_delimited_issues(spark):
+    df = spark.createDataFrame([(1, "item;value;unit\nA;5,1;mg/L\nB;7;;extra;\n \nC\n"), (2, "no table here\n\nat all"), (3, "\na | b\n1 | 2"), (4, None)], "id int, t string")
+    got = sorted(map(tuple, X.delimited_issues(df, "id", "t").collect()), key=str)
+    assert got == [(1, 3, 4, "surplus_cell", None, "extra"), (1, 3, 5, "surplus_cell", None, ""), (1, 4, None, "blank_line", None, None), (1, 5, 2, "missing_cell", "value", None), (1, 5, 3, "missing_cell", "unit", None), (3, 1, None, "blank_line", None, None)]
+
+
 def test_fragments_join_again(spark):
     text = "äöü😀" * 1000
     got = X.fragments(spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "x")], "id int, t string"), "id", "t", 700).orderBy("id", "fragment_no").collect()
