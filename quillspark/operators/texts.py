@@ -13,10 +13,13 @@ from pyspark.sql import types as T
 BLANK = r"^\s*$"
 
 
+def _lines(text: str) -> Column:
+    return F.split(F.regexp_replace(text, r"\r\n|\r", "\n"), "\n")
+
+
 def text_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (key, line_no, line), numbered from 1; CRLF, CR and LF end a line. A null text has no lines."""
-    lines = F.split(F.regexp_replace(text, r"\r\n|\r", "\n"), "\n")
-    return df.where(F.col(text).isNotNull()).select(key, F.posexplode(lines).alias("_at", "line")).select(key, (F.col("_at") + 1).alias("line_no"), "line")
+    return df.where(F.col(text).isNotNull()).select(key, F.posexplode(_lines(text)).alias("_at", "line")).select(key, (F.col("_at") + 1).alias("line_no"), "line")
 
 
 def paragraph_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -118,11 +121,14 @@ def search_lines(df: DataFrame, key: str, text: str, needle: str, first: int = 2
     """
     hits = text_lines(df, key, text).where(F.contains(F.lower("line"), F.lit(needle.lower())))
     lower = F.lower(F.col(text))
+    found = F.contains(lower, F.lit(needle.lower()))
+    matching = F.size(F.filter(_lines(text), lambda x: F.contains(F.lower(x), F.lit(needle.lower()))))
     totals = df.agg(
         F.count(F.lit(1)).alias("scanned"),
         F.count(F.when(F.col(text).isNull(), 1)).alias("null_texts"),
         F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("chars"),
-        F.count(F.when(F.contains(lower, F.lit(needle.lower())), 1)).alias("matching_texts"),
+        F.coalesce(F.sum(F.when(found, matching)), F.lit(0)).alias("matching_lines"),
+        F.count(F.when(found, 1)).alias("matching_texts"),
     )
     return totals, hits.select(key, "line_no").orderBy(key, "line_no").limit(first)
 

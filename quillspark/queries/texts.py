@@ -42,6 +42,11 @@ def text_fragments(spark, d):
 
 
 def search_totals(spark, d):
+    return X.search_lines(documents(spark, d), "doc_id", "text", "laborator")[0].drop("matching_lines")
+
+
+def search_line_totals(spark, d):
+    """search_totals with the number of lines that match, which search_first shows the first of."""
     return X.search_lines(documents(spark, d), "doc_id", "text", "laborator")[0]
 
 
@@ -94,7 +99,7 @@ def unit_inventory(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (paragraph_blocks, line_candidates, delimited_cells, delimited_issues, text_fragments, search_totals, search_first, title_search, finding_counts, redaction_log, redacted_texts, csv_cells, search_terms, duplicate_texts, unit_inventory)
+    for f in (paragraph_blocks, line_candidates, delimited_cells, delimited_issues, text_fragments, search_totals, search_line_totals, search_first, title_search, finding_counts, redaction_log, redacted_texts, csv_cells, search_terms, duplicate_texts, unit_inventory)
 }
 
 _KINDS = X.IDENTIFIERS | X.INSTRUCTIONS
@@ -127,6 +132,9 @@ SQL = {
     "search_totals": """
         SELECT count(*) AS scanned, count(*) FILTER (text IS NULL) AS null_texts, coalesce(sum(length(text)), 0) AS chars,
         count(*) FILTER (contains(lower(text), 'laborator')) AS matching_texts FROM documents""",
+    "search_line_totals": f"""
+        WITH l AS ({NUMBERED}) SELECT count(*) AS scanned, count(*) FILTER (text IS NULL) AS null_texts, coalesce(sum(length(text)), 0) AS chars,
+        (SELECT count(*) FROM l WHERE contains(lower(line), 'laborator')) AS matching_lines, count(*) FILTER (contains(lower(text), 'laborator')) AS matching_texts FROM documents""",
     "search_first": f"WITH l AS ({NUMBERED}) SELECT doc_id, line_no FROM l WHERE contains(lower(line), 'laborator') ORDER BY doc_id, line_no LIMIT 25",
     "title_search": "SELECT seq FROM evidence_snapshot WHERE len(list_intersect(regexp_split_to_array(lower(title), '[^\\p{L}\\p{N}]+'), ['cough', 'persistent'])) = 2",
     "finding_counts": f"SELECT doc_id, kind, n FROM ({_FOUND}) WHERE n > 0",

@@ -60,6 +60,14 @@ def test_search_and_titles(spark):
     assert X.title_matches(spark.createDataFrame([("A cough study",), ("coughs",), (None,)], "t string"), "t", "Study cough").count() == 1
 
 
+def test_matching_lines(spark):
+    df = spark.createDataFrame([(1, "a Needle\r\nb\rneedle needle\n"), (2, "no"), (3, None), (4, "NEEDLE")], "id int, t string")
+    for first in (1, 9):
+        totals = X.search_lines(df, "id", "t", "needle", first)[0].first()
+        assert (totals.matching_lines, totals.matching_texts) == (3, 2)
+    assert X.search_lines(df.limit(0), "id", "t", "needle")[0].first().matching_lines == 0
+
+
 def test_redaction(spark):
     assert X.merged_spans([(0, 5, "a"), (4, 9, "b"), (9, 12, "a"), (20, 22, "c")]) == [(0, 9, "a+b"), (9, 12, "a"), (20, 22, "c")]
     df = spark.createDataFrame([("mail a.b@c.org or +49 170 1234567 on 2024-01-02",), ("",), (None,)], "t string").select(X.redacted(F.col("t")).alias("r"))
