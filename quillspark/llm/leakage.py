@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.session import bounded_rows
+from quillspark.session import bounded_rows, cut
 
 N = 3
-#: A window that more items have than this is a turn of phrase, not a passage.
+#: A window that more cases have than this is a turn of phrase, not a passage.
 FEW = 2
 #: Windows of few items that a document has to share with an item before it is verified.
 HITS = 4
@@ -34,6 +34,8 @@ SHARE = 0.36
 OWN = 0.35
 #: A sentence that stands in so many items is an instruction.
 INSTRUCTION = 5
+#: Own words of a case at least; where fewer are held by few items, the rarest are taken.
+LEAST_OWN = 5
 BROADCAST_ITEMS = 20_000
 
 # Letters of other scripts that look like Latin ones.
@@ -73,31 +75,85 @@ def _sentences(text: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.?!;:])\s+", text.strip()) if s]
 
 
+def usual(sentences: list[str], often: list[int]) -> str | None:
+    """The sentence in the middle of a text's words, when sentences are ordered by how many items have them."""
+    ranked = sorted((n, s, len(words(s))) for s, n in zip(sentences, often, strict=True))
+    total, half = sum(k for *_, k in ranked), 0
+    for _, s, k in ranked:
+        half += k
+        if 2 * half >= total:
+            return s
+    return None
+
+
+def instructions(said: dict[int, list[str]]) -> set[str]:
+    """Sentences (in lower case) that many items share: most items that have one share it with many items of another case.
+
+    Copies and variants of a case share its sentences too, so items that have the same usual sentence don't count.
+    """
+    holders = defaultdict(set)
+    for i, ss in said.items():
+        for s in ss:
+            holders[s].add(i)
+    apart, middle = Counter(), {i: usual(ss, [len(holders[s]) for s in ss]) for i, ss in said.items()}
+    common = {}
+    for i, ss in said.items():
+        for s in set(ss):
+            if len(holders[s]) >= INSTRUCTION:
+                if (at := (s, middle[i])) not in common:
+                    common[at] = len(holders[s] & holders[middle[i]])
+                apart[s] += len(holders[s]) - common[at] >= INSTRUCTION - 1
+    return {s for s, n in apart.items() if 2 * n >= len(holders[s])}
+
+
 def case_texts(items: list[tuple[int, str]]) -> dict[int, str]:
     """Each item's case: its text without sentences that many items share (instructions) and without lettered options."""
-    bare = {i: _OPTIONS.sub("", t) for i, t in items}
-    often = Counter(s.lower() for t in bare.values() for s in set(_sentences(t)))
-    return {i: " ".join(s for s in _sentences(t) if often[s.lower()] < INSTRUCTION) or t for i, t in bare.items()}
+    said = {i: _sentences(_OPTIONS.sub("", t)) for i, t in items}
+    shared = instructions({i: [s.lower() for s in ss] for i, ss in said.items()})
+    return {i: " ".join([s for s in ss if s.lower() not in shared] or ss) for i, ss in said.items()}
+
+
+def indexed(grams: list, held: list[int], n: int) -> list:
+    """The windows by which a case of n words is looked up: the ones of few cases, or all of them where some stretch
+    that is long enough to be found has too few of those."""
+    seen, rare = set(), []
+    for g, h in zip(grams, held, strict=True):
+        rare.append(h <= FEW and g not in seen)
+        seen.add(g)
+    size = min(len(rare), max(1, int(np.ceil(SHARE * n)) - N + 1))
+    sums = np.concatenate([[0], np.cumsum(rare)])
+    if len(rare) and (sums[size:] - sums[: len(sums) - size]).min() < HITS:
+        return list(seen)
+    return [g for g, r in zip(grams, rare, strict=True) if r]
 
 
 @dataclass
 class Items:
-    """The cases of all items, and their windows that few items have."""
+    """The different cases of all items, which items have each, and the windows by which they are looked up."""
 
     cases: dict[int, list[str]]
     own: dict[int, frozenset[str]]
     index: dict[tuple[str, ...], tuple[int, ...]]
+    members: dict[int, tuple[int, ...]]
 
     @staticmethod
     def build(items: list[tuple[int, str]]) -> Items:
-        cases = {i: words(t) for i, t in case_texts(items).items()}
-        holders, words_in = defaultdict(set), Counter()
-        for i, ws in cases.items():
-            words_in.update(set(ws))
-            for g in windows(ws):
-                holders[g].add(i)
-        own = {i: frozenset(w for w in ws if words_in[w] <= FEW) for i, ws in cases.items()}
-        return Items(cases, own, {g: tuple(sorted(h)) for g, h in holders.items() if len(h) <= FEW})
+        classes, held, words_in = defaultdict(list), Counter(), Counter()
+        for i, t in case_texts(items).items():
+            if case := tuple(words(t)):
+                classes[case].append(i)
+        for case in classes:
+            words_in.update(set(case))
+            held.update(set(windows(case)))
+        cases, own, index = dict(enumerate(map(list, classes))), {}, defaultdict(list)
+        for c, ws in cases.items():
+            counts = sorted(words_in[w] for w in set(ws))
+            most = max(FEW, counts[min(LEAST_OWN, len(counts)) - 1])
+            own[c] = frozenset(w for w in ws if words_in[w] <= most)
+            grams = list(windows(ws))
+            for g in indexed(grams, [held[g] for g in grams], len(ws)):
+                index[g].append(c)
+        return Items(cases, own, {g: tuple(h) for g, h in index.items()}, {c: tuple(sorted(m)) for c, m in enumerate(classes.values())})
 
     def verify(self, item: int, ws: list[str]) -> bool:
         """Whether a document's words repeat enough of an item's case."""
@@ -180,9 +236,9 @@ class Scanner:
         """The items that each text repeats."""
         out: list[list[int]] = [[] for _ in texts]
         for t, counts in self.hits(texts).items():
-            if among := [i for i, n in counts.items() if n >= HITS]:
+            if among := [c for c, n in counts.items() if n >= HITS]:
                 ws = words(texts[t])
-                out[t] = sorted(i for i in among if self.items.verify(i, ws))
+                out[t] = sorted({i for c in among if self.items.verify(c, ws) for i in self.items.members[c]})
         return out
 
 
@@ -224,21 +280,40 @@ def leaks(documents: DataFrame, items: DataFrame, key: str, text: str, item_key:
     return found.distinct()
 
 
+def _hashes(ws: list[str]) -> list[int]:
+    import xxhash
+
+    return [xxhash.xxh3_64_intdigest("\x1f".join(g)) - 2**63 for g in windows(ws)]
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _window_hashes(batch: pd.Series) -> pd.Series:
-    import xxhash
+    return pd.Series([list(set(_hashes(words(t)))) for t in batch])
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _case_hashes(batch: pd.Series) -> pd.Series:
+    return pd.Series([_hashes(list(ws)) for ws in batch])
+
 
-    return pd.Series([list({xxhash.xxh3_64_intdigest("\x1f".join(g)) - 2**63 for g in windows(words(t))}) for t in batch])
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _indexed(grams: pd.Series, held: pd.Series) -> pd.Series:
+    return pd.Series([[int(g) for g in indexed(list(g), list(h), len(g) + N - 1)] for g, h in zip(grams, held, strict=True)])
 
 
 @F.pandas_udf(T.BooleanType())
 def _verified(text: pd.Series, case: pd.Series, own: pd.Series) -> pd.Series:
     out = []
     for t, c, o in zip(text, case, own, strict=True):
-        out.append(Items({0: list(c)}, {0: frozenset(o)}, {}).verify(0, words(t)))
+        out.append(Items({0: list(c)}, {0: frozenset(o)}, {}, {}).verify(0, words(t)))
     return pd.Series(out)
 
 
+@F.pandas_udf(T.StringType())
+def _usual(sentences: pd.Series, often: pd.Series) -> pd.Series:
+    return pd.Series([usual(list(s), list(n)) for s, n in zip(sentences, often, strict=True)])
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _words(batch: pd.Series) -> pd.Series:
     return pd.Series([words(t) for t in batch])
@@ -250,19 +325,30 @@ def _item_sentences(batch: pd.Series) -> pd.Series:
 
 
 def _leaks_by_join(texts: DataFrame, items: DataFrame, key: str, item_key: str) -> DataFrame:
-    """leaks for any number of items: windows that few items have meet those of the documents in a join."""
-    said = items.select("i", "t", F.posexplode(_item_sentences("t")).alias("at", "s")).withColumn("l", F.lower("s"))
-    often = said.select("i", "l").distinct().groupBy("l").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < INSTRUCTION)
-    cases = said.join(often, "l").groupBy("i").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]), " ").alias("c"))
-    cases = items.join(cases, "i", "left").select("i", _words(F.coalesce("c", "t")).alias("case"))
-    own = cases.select("i", F.explode(F.array_distinct("case")).alias("w"))
-    rare = own.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= FEW)
-    own = own.join(rare, "w").groupBy("i").agg(F.collect_list("w").alias("own"))
-    cases = cases.join(own, "i", "left").withColumn("own", F.coalesce("own", F.array().cast("array<string>")))
-    grams = cases.select("i", F.explode(_window_hashes(F.array_join("case", " "))).alias("g"))
-    few = grams.groupBy("g").agg(F.collect_list("i").alias("holders"), F.count(F.lit(1)).alias("n")).where(F.col("n") <= FEW).select("g", "holders")
+    """leaks for any number of items: the windows that cases are looked up by meet those of the documents in a join."""
+    in_order = lambda *c: F.sort_array(F.collect_list(F.struct("at", *c)))
+    said = cut(items.select("i", F.posexplode(_item_sentences("t")).alias("at", "s")).withColumn("l", F.lower("s")))
+    has = said.select("i", "l").distinct()
+    often = has.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    middle = cut(said.join(often, "l").groupBy("i").agg(in_order("l", "n").alias("x")).select("i", _usual("x.l", "x.n").alias("u")))
+    alike = has.join(middle.select("u").distinct(), F.col("l") == F.col("u")).select("i", "u").join(has, "i").groupBy("u", "l").agg(F.count(F.lit(1)).alias("m"))
+    apart = has.join(often.where(F.col("n") >= INSTRUCTION), "l").join(middle, "i").join(alike, ["u", "l"], "left")
+    apart = apart.groupBy("l").agg(F.avg((F.col("n") - F.coalesce("m", F.lit(0)) >= INSTRUCTION - 1).cast("int")).alias("share")).where("share >= 0.5").select("l", F.lit(True).alias("shared"))
+    text = lambda x: F.array_join(F.transform(x, lambda y: y["s"]), " ")
+    read = said.join(apart, "l", "left").groupBy("i").agg(in_order("s", "shared").alias("x")).withColumn("own", F.filter("x", lambda y: y["shared"].isNull()))
+    read = read.select("i", _words(text(F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("x")))).alias("case"))
+    read = cut(read.where(F.size("case") > 0).withColumn("c", F.sha2(F.array_join("case", " "), 256)))
+    classes = read.groupBy("c").agg(F.first("case").alias("case"))
+    said_in = classes.select("c", F.explode(F.array_distinct("case")).alias("w"))
+    words_in = said_in.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    ranked = said_in.join(words_in, "w").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("n", "w"))).alias("x"))
+    ranked = ranked.withColumn("most", F.greatest(F.lit(FEW), F.get("x", F.least(F.lit(LEAST_OWN), F.size("x")) - 1)["n"]))
+    own = ranked.select("c", F.transform(F.filter("x", lambda x: x["n"] <= F.col("most")), lambda x: x["w"]).alias("own"))
+    grams = classes.select("c", F.posexplode(_case_hashes("case")).alias("at", "g"))
+    held = grams.select("c", "g").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    kept = grams.join(held, "g").groupBy("c").agg(in_order("g", "n").alias("x")).select("c", F.explode(_indexed("x.g", "x.n")).alias("g"))
     keyed = texts.select(key, F.xxhash64("_t").alias("_v"), "_t")
-    hits = keyed.select(key, "_v", F.explode(_window_hashes("_t")).alias("g")).join(few, "g").select(key, "_v", "g", F.explode("holders").alias("i")).distinct()
-    pairs = hits.groupBy(key, "_v", "i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HITS)
-    checked = pairs.join(keyed.dropDuplicates([key, "_v"]), [key, "_v"]).join(cases, "i").where(_verified("_t", "case", "own"))
-    return checked.select(key, F.col("i").alias(item_key)).distinct()
+    hits = keyed.select(key, "_v", F.explode(_window_hashes("_t")).alias("g")).join(kept, "g").select(key, "_v", "g", "c").distinct()
+    pairs = hits.groupBy(key, "_v", "c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HITS)
+    checked = pairs.join(keyed.dropDuplicates([key, "_v"]), [key, "_v"]).join(classes.join(own, "c"), "c").where(_verified("_t", "case", "own"))
+    return checked.select(key, "c").distinct().join(read.select("c", "i"), "c").select(key, F.col("i").alias(item_key)).distinct()

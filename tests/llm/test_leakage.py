@@ -48,6 +48,25 @@ def test_both_ways(spark, limit):
     assert sorted(map(tuple, got.collect())) == sorted((k, i) for k, (_, found) in DOCS.items() for i in found)
 
 
+LEAD = ["", "Use only what the passage states. ", "Choose one. ", "Answer after the case. ", "Read the case first. ", "Select the best. ", "Be brief. ", "Think. "]
+
+
+@pytest.mark.parametrize("limit", [100, 3])
+def test_copies_and_variants(spark, limit):
+    """Copies of a case under other ids, and variants that differ in few words, are all found."""
+    bare = [CASES[i] for i in range(12)]
+    copies = [(100 + k, f"{LEAD[k]}{bare[2]} (A) Yes {k}. (B) No.") for k in range(8)]
+    variants = [(200 + k, bare[3].replace("minutes too long", f"minutes {NAMES[k]} long")) for k in range(8)]
+    items = spark.createDataFrame([*ITEMS, *copies, *variants], "item_id bigint, text string")
+    half = ". ".join(bare[2].split(". ")[:2]) + ". "
+    docs = spark.createDataFrame([(1, FILL + bare[2] + FILL), (2, FILL + bare[3] + FILL), (3, FILL + half + FILL), (4, FILL + item(99)), (5, FILL + bare[7])], "doc_id bigint, text string")
+    got = {}
+    for d, i in leaks(docs, items, "doc_id", "text", "item_id", "text", broadcast_items=limit).collect():
+        got.setdefault(d, set()).add(i)
+    same, alike = {2, *range(100, 108)}, {3, *range(200, 208)}
+    assert got == {1: same, 2: alike, 3: same, 5: {7}}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
