@@ -32,6 +32,8 @@ HITS = 4
 SHARE = 0.36
 #: The share of a case's own words (names, figures) that must be repeated.
 OWN = 0.35
+#: Else the share of the own words in and next to the repeated part that stand in it, and how many words are next to it.
+OWN_PART, NEXT_TO = 0.5, 3
 #: A sentence that stands in so many items is an instruction.
 INSTRUCTION = 5
 #: Own words of a case at least; where fewer are held by few items, the rarest are taken.
@@ -156,7 +158,11 @@ class Items:
         return Items(cases, own, {g: tuple(h) for g, h in index.items()}, {c: tuple(sorted(m)) for c, m in enumerate(classes.values())})
 
     def verify(self, item: int, ws: list[str]) -> bool:
-        """Whether a document's words repeat enough of an item's case."""
+        """Whether a document's words repeat enough of an item's case.
+
+        A whole passage may hold few of the case's own words, so those in and next to what is repeated may be enough: in
+        a similar case with other names and figures, they stand next to it and are not repeated.
+        """
         case, own = self.cases[item], self.own[item]
         if not case:
             return False
@@ -170,7 +176,13 @@ class Items:
             if not covered[k + 1] and (covered[k] or covered[k + 2]) and (case[k], case[k + 2]) in near:
                 covered[k + 1] = 1
         seen = set(ws)
-        return sum(covered) >= SHARE * n and sum(w in seen for w in own) >= OWN * len(own)
+        if sum(covered) < SHARE * n:
+            return False
+        if sum(w in seen for w in own) >= OWN * len(own):
+            return True
+        told = {w for w, c in zip(case, covered, strict=True) if c and w in own and w in seen}
+        close = {w for k, w in enumerate(case) if w in own and any(covered[max(0, k - NEXT_TO) : k + NEXT_TO + 1])}
+        return bool(told) and len(told) >= OWN_PART * len(close)
 
 
 class Scanner:

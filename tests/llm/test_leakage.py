@@ -67,6 +67,18 @@ def test_copies_and_variants(spark, limit):
     assert got == {1: same, 2: alike, 3: same, 5: {7}}
 
 
+def test_own_words_of_the_repeated_part():
+    """A whole passage with few of the case's own words is a leak; the same with other names and figures is none."""
+    ends = ["a clerk at Oneda counts nine narrow racks beside the mist cabinet and finds all of them clotted before noon", "at Oneda the cabinet ran forty minutes too long so the racks of the morning round had to be washed again"]
+    rest = [f"then {a} wrote to {b} about it at length and asked for all the papers" for a, b in (("twoba", "threna"), ("fourik", "fivol"), ("sixtur", "sevun"))]
+    case = words(". ".join([ends[0], *rest, ends[1]]))
+    own = frozenset("oneda twoba threna fourik fivol sixtur sevun".split())
+    items = Items({0: case}, {0: own}, {}, {})
+    assert items.verify(0, words(FILL + ". ".join(ends) + ". " + FILL))
+    assert not items.verify(0, words(FILL + ". ".join(ends).replace("Oneda", "Elsewhere") + ". " + FILL))
+    assert not items.verify(0, ["other" if w in own else w for w in case])
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
