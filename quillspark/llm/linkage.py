@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from quillspark.session import cut
 
 VOTES = ["v_words", "v_rare", "v_marker", "v_url", "v_date", "v_overlap"]
-#: A block of more pairs than this is split by one more word that a pair has to share.
+#: A block of more pairs than this is dealt to cells of about so many pairs.
 BLOCK_PAIRS = 20_000
 #: A word in the titles of so many things is taken as spelt right: it is not a slip of another one.
 ESTABLISHED = 4
@@ -258,9 +258,24 @@ def records(df: DataFrame, key: str, title: str, url: Column, date: Column, side
     return out.withColumn("side", F.lit(side)).withColumn("rid", F.xxhash64("side", "words", "marker", "cut", "url", "date"))
 
 
+def cells(blocks: DataFrame) -> DataFrame:
+    """Blocks (rid, side, key) that have both sides, the big ones dealt to a grid of cells with a key each.
+
+    A record of a big block falls in one row (left side) or column (right side) by its hash and goes to all cells of it,
+    so every pair of the block meets in exactly one cell, whatever else the two share.
+    """
+    wide = max(1, int(BLOCK_PAIRS**0.5))
+    sizes = blocks.groupBy("key").agg(F.count(F.when(F.col("side") == "l", 1)).alias("nl"), F.count(F.when(F.col("side") == "r", 1)).alias("nr")).where("nl > 0 and nr > 0")
+    left, parts = F.col("side") == "l", lambda n: F.ceil(F.col(n) / wide)
+    sized = blocks.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("rid", "key"), F.when(left, parts("nl")).otherwise(parts("nr"))))
+    others = F.sequence(F.lit(0).cast("bigint"), F.when(left, parts("nr")).otherwise(parts("nl")) - 1)
+    dealt = F.transform(others, lambda x: F.concat_ws("|", "key", F.when(left, F.col("mine")).otherwise(x).cast("string"), F.when(left, x).otherwise(F.col("mine")).cast("string")))
+    return sized.select("rid", "side", F.explode(F.when(F.col("nl") * F.col("nr") > BLOCK_PAIRS, dealt).otherwise(F.array("key"))).alias("key"))
+
+
 def candidates(members: DataFrame) -> DataFrame:
-    """Pairs of classes (l, r structs, with words and counts as texts) that share a blocking key; big blocks are split by
-    a further shared word.
+    """Pairs of classes (l, r structs, with words and counts as texts) that share a blocking key; big blocks are
+    dealt to cells, which loses no pair.
 
     members are the records of both sides. Records that are alike but for their id are one class (rid), so copies make no
     further pairs; how many things have a word is counted over ids.
@@ -282,10 +297,8 @@ def candidates(members: DataFrame) -> DataFrame:
     pair = lambda a, b: F.when(F.least(at(a)["counts"], at(b)["counts"]) <= common, F.concat_ws("+", F.lit("2:"), F.array_sort(F.array(at(a)["words"], at(b)["words"]))))
     keys = [F.when(known, F.concat(F.lit("1:"), at(0)["words"])), pair(0, 1), pair(0, 2), F.when(known, pair(1, 2)), F.when(known, pair(1, 3)), F.when(~known, pair(0, 3)), F.concat(F.lit("u:"), "url")]
     keys = F.array_compact(F.array(*keys))
-    blocks = rows.select("rid", "side", "words", F.explode(F.array_distinct(keys)).alias("key"))
-    sizes = blocks.groupBy("key").agg(F.count(F.when(F.col("side") == "l", 1)).alias("nl"), F.count(F.when(F.col("side") == "r", 1)).alias("nr")).where("nl > 0 and nr > 0")
-    sized = blocks.join(sizes.select("key", (F.col("nl") * F.col("nr") > BLOCK_PAIRS).alias("big")), "key")
-    fine = sized.select("rid", "side", F.explode(F.when(F.col("big"), F.transform("words", lambda x: F.concat_ws("|", "key", x))).otherwise(F.array("key"))).alias("key"))
+    blocks = rows.select("rid", "side", F.explode(F.array_distinct(keys)).alias("key"))
+    fine = cells(blocks)
     ids = fine.where("side = 'l'").select("key", F.col("rid").alias("lrid")).join(fine.where("side = 'r'").select("key", F.col("rid").alias("rrid")), "key").select("lrid", "rrid").distinct()
     pack = lambda side, name: rows.where(F.col("side") == side).select(F.col("rid").alias(f"{name}rid"), F.struct("rid", F.array_join("words", " ").alias("words"), F.array_join(F.col("counts").cast("array<string>"), " ").alias("counts"), "marker", "cut", "url", "date").alias(name))
     return ids.join(pack("l", "l"), "lrid").join(pack("r", "r"), "rrid").select("l", "r")

@@ -69,6 +69,23 @@ def test_empty_and_split_blocks(spark, monkeypatch):
     assert link(frame(spark, copies[:9], "l"), frame(spark, rows, "r"), least=0.0).count() == 9
 
 
+def test_big_blocks_are_dealt_whole(spark, monkeypatch):
+    """Every pair of a big block meets in one cell, also records without a title word; no cell is big."""
+    from quillspark.llm import linkage
+
+    monkeypatch.setattr(linkage, "BLOCK_PAIRS", 100)
+    blocks = spark.createDataFrame([(i, s, k) for k, n in (("1:w", 60), ("s", 3)) for s in "lr" for i in range(n)] + [(1, "l", "alone")], "rid bigint, side string, key string")
+    fine = linkage.cells(blocks)
+    l, r = (fine.where(f"side = '{s}'").select("key", F.col("rid").alias(s)) for s in "lr")
+    pairs = l.join(r, "key")
+    assert pairs.count() == 60 * 60 + 3 * 3
+    assert pairs.where("key like '1:w%'").select("l", "r").distinct().count() == 60 * 60
+    assert pairs.groupBy("key").count().agg(F.max("count")).first()[0] <= 400
+    monkeypatch.setattr(linkage, "BLOCK_PAIRS", 4)
+    rows = lambda side: frame(spark, [(f"{side}{i}", None, "https://pub.example/324856", f"20{i + 10}-01-01", "x", 1) for i in range(6)], side)
+    assert candidates(rows("l").unionByName(rows("r"))).count() == 36
+
+
 def test_label_model_learns_accuracies():
     rng = np.random.default_rng(0)
     truth = rng.random(6000) < 0.3
