@@ -292,6 +292,13 @@ def leaks(documents: DataFrame, items: DataFrame, key: str, text: str, item_key:
     return found.distinct()
 
 
+def without_leaks(documents: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The documents that no item was found in; found comes from leaks(). Whole documents go: a passage may be retouched
+    or rearranged, so that its ends in the text are not sure. All rows of a key that was found go, a null key too."""
+    gone = found.select(F.col(key).alias("_gone")).distinct()
+    return documents.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def _hashes(ws: list[str]) -> list[int]:
     import xxhash
 

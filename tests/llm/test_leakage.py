@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quillspark.llm.leakage import Items, Scanner, case_texts, leaks, words
+from quillspark.llm.leakage import Items, Scanner, case_texts, leaks, without_leaks, words
 
 NAMES = ["Brandol", "Teskim", "Olfrad", "Vandrup", "Kespil", "Nortum", "Wexlar", "Quinbo", "Zarlet", "Hupfen"]
 
@@ -79,6 +79,15 @@ def test_own_words_of_the_repeated_part():
     assert not items.verify(0, ["other" if w in own else w for w in case])
 
 
+def test_corpus_without_leaks(spark):
+    docs = spark.createDataFrame([*((k, t, "x") for k, (t, _) in DOCS.items()), (None, CASES[1], "y")], "doc_id bigint, text string, kind string")
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    rest = without_leaks(docs, leaks(docs, items, "doc_id", "text", "item_id", "text"), "doc_id")
+    assert rest.columns == docs.columns and sorted(r.doc_id for r in rest.collect()) == sorted(k for k, (_, found) in DOCS.items() if not found)
+    assert leaks(rest, items, "doc_id", "text", "item_id", "text").count() == 0
+    assert without_leaks(docs, leaks(docs, items.limit(0), "doc_id", "text", "item_id", "text"), "doc_id").count() == docs.count()
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
