@@ -12,9 +12,11 @@ sites, whose size is checked by the caller.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -165,9 +167,31 @@ def zone_version() -> str:
         return "system"
 
 
+def _stated_transitions(zone: str) -> tuple[int, ...]:
+    """The instants (seconds, UTC) of changes that the data file of a known zone lists."""
+    from importlib.resources import files
+    from zoneinfo import TZPATH
+
+    places = [Path(p, zone) for p in TZPATH]
+    data = next((p.read_bytes() for p in places if p.is_file()), None)
+    if data is None:
+        data = files("tzdata").joinpath("zoneinfo", *zone.split("/")).read_bytes()
+    head = ">4sc15x6l"
+    at, width = 0, 4
+    _, version, isut, isstd, leap, times, types, chars = struct.unpack_from(head, data)
+    if version >= b"2":  # the same again with instants of 8 bytes
+        at, width = 44 + times * 5 + types * 6 + chars + leap * 8 + isstd + isut, 8
+        times = struct.unpack_from(head, data, at)[5]
+    return struct.unpack_from(f">{times}{'q' if width == 8 else 'l'}", data, at + 44)
+
+
 @lru_cache(1024)
 def zone_transitions(zone: str) -> tuple[np.ndarray, np.ndarray] | None:
-    """The instants (seconds, UTC) from which an offset (seconds) holds in a zone; None for an unknown zone."""
+    """The instants (seconds, UTC) from which an offset (seconds) holds in a zone; None for an unknown zone.
+
+    Offsets are read at every listed change, however close it is to the next, and every 14 days for the yearly rule that
+    follows the last one.
+    """
     from zoneinfo import ZoneInfo
 
     try:
@@ -178,9 +202,10 @@ def zone_transitions(zone: str) -> tuple[np.ndarray, np.ndarray] | None:
     lo = int((datetime(1900, 1, 1) - _EPOCH).total_seconds())
     hi = int((datetime(2100, 1, 1) - _EPOCH).total_seconds())
     at, off, step = [lo], [offset(lo)], 14 * 86400
-    for t in range(lo, hi, step):
-        if (new := offset(t + step)) != off[-1]:
-            a, b = t, t + step
+    stated = {x for t in _stated_transitions(zone) for x in (t - 1, t) if lo < x <= hi}
+    points = sorted(stated | set(range(lo, hi + step, step)))
+    for a, b in zip(points, points[1:], strict=False):
+        if (new := offset(b)) != off[-1]:
             while b - a > 1:
                 mid = (a + b) // 2
                 a, b = (mid, b) if offset(mid) == off[-1] else (a, mid)

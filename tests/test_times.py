@@ -89,3 +89,12 @@ def test_days_and_tables(spark):
     assert [r[0] for r in df.withColumn("n", time).select(day_in_zone(F.col("n"), F.col("z"))).collect()] == ["2021-11-14", "2021-11-14", None, None]
     table = zone_table(spark, ["Europe/Berlin", "No/Zone"])
     assert table.where("offset_s not in (3600, 7200, 10800, 3208)").count() == 0 and table.select("version").distinct().count() == 1
+
+
+def test_changes_close_together():
+    """Two changes within two weeks that cancel are both read."""
+    at, off = zone_transitions("America/Argentina/Tucuman")
+    june = [(datetime.fromtimestamp(int(t), timezone.utc).strftime("%Y-%m-%d"), int(o)) for t, o in zip(at, off, strict=True)]
+    assert ("2004-06-01", -14400) in june and ("2004-06-13", -10800) in june
+    local = [int((datetime(2004, 6, d) - datetime(1970, 1, 1)).total_seconds()) for d in (7, 20)]
+    assert (np.array(local) - local_to_utc(np.array(local), (at, off))[0]).tolist() == [-14400, -10800]
