@@ -162,6 +162,14 @@ def test_graphs(spark):
         GR.greedy_cover(scopes, "i", "s", "p", limit=2)
 
 
+def test_long_chains(spark, monkeypatch):
+    """Chains longer than any bound of rounds end at the fixed point."""
+    monkeypatch.setattr(GR, "MAX_ROUNDS", 4, raising=False)
+    chain = spark.createDataFrame([(i, i + 1, "supersedes") for i in range(20)], "source int, target int, relation string")
+    assert GR.cyclic_nodes(chain).count() == 0
+    assert GR.superseded(chain, chain.where("source = 0").select("target")).count() == 20
+
+
 def test_guidance(spark):
     day = date(2024, 1, 1)
     states = spark.createDataFrame([("a", day, None, None, ["EU"]), ("b", day, None, None, ["GLOBAL"]), ("c", day, None, None, ["US"]), ("d", date(2030, 1, 1), None, None, ["EU"])], "document_id string, effective_from date, effective_until date, withdrawn_on date, jurisdictions array<string>")
