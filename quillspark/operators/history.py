@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import cut
+
 PERIOD_S = 7 * 86400
 
 
@@ -22,16 +24,18 @@ def _period(at: Column) -> Column:
     return F.floor(F.unix_micros(at.cast("timestamp")) / (PERIOD_S * 1_000_000))
 
 
-def _same(columns: list[str], left: str, right: str) -> Column:
-    return reduce(lambda a, b: a & b, (F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns), F.lit(True))
+def by_period(df: DataFrame, key: str, at: str) -> DataFrame:
+    """df with _period, dealt to tasks by (key, period): what neighbours does within periods needs no further exchange."""
+    return df.withColumn("_period", _period(F.col(at))).repartition(F.col(key), F.col("_period"))
 
 
 def neighbours(df: DataFrame, key: str, at: str, carry: list[str] = (), previous: str = "_before", following: str = "_after") -> DataFrame:
     """Adds the time before and after each row of its key; blank (null) columns of carry keep the last value standing.
 
-    (key, at) must be unique. Null times sort first. Two levels: inside a period of time, and over the periods of a key.
+    (key, at) must be unique and not null. Two levels: inside a period of time, and over the periods of a key. df may
+    come from by_period, else it is dealt here.
     """
-    rows = df.withColumn("_period", _period(F.col(at)))
+    rows = df if "_period" in df.columns else by_period(df, key, at)
     inner = Window.partitionBy(key, "_period").orderBy(at)
     rows = rows.withColumn("_in_before", F.lag(at).over(inner)).withColumn("_in_after", F.lead(at).over(inner))
     for c in carry:
@@ -43,19 +47,19 @@ def neighbours(df: DataFrame, key: str, at: str, carry: list[str] = (), previous
     )
     outer = Window.partitionBy(key).orderBy("_period")
     ends = ends.select(
-        F.col(key).alias("_k"),
-        F.col("_period").alias("_p"),
+        key,
+        "_period",
         F.lag("_last").over(outer).alias("_out_before"),
         F.lead("_first").over(outer).alias("_out_after"),
         *(F.last(f"_carry_{c}", ignorenulls=True).over(outer.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_carry_{c}") for c in carry),
     )
-    joined = rows.join(ends, F.col(key).eqNullSafe(F.col("_k")) & F.col("_period").eqNullSafe(F.col("_p")), "left")
+    joined = rows.join(ends, [key, "_period"], "left")
     for c in carry:
         joined = joined.withColumn(c, F.coalesce(c, f"_carry_{c}"))
     return (
         joined.withColumn(previous, F.coalesce("_in_before", "_out_before"))
         .withColumn(following, F.coalesce("_in_after", "_out_after"))
-        .drop("_period", "_in_before", "_in_after", "_k", "_p", "_out_before", "_out_after", *(f"_carry_{c}" for c in carry))
+        .drop("_period", "_in_before", "_in_after", "_out_before", "_out_after", *(f"_carry_{c}" for c in carry))
     )
 
 
@@ -67,29 +71,24 @@ def change_events(df: DataFrame, key: str, at: str, attributes: list[str], carry
     without a successor is the newest state and no event, and one whose attributes differ (null-safe) is changed.
     Rows with a null key or time have no place in a history and are left out.
     """
-    base = df.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, at, *attributes)
-    now = neighbours(base, key, at, list(carry)).drop("_after")
-    before = now.select(key, at, *attributes)
-    joined = now.alias("n").join(
-        before.alias("b"), F.col(f"n.{key}").eqNullSafe(F.col(f"b.{key}")) & F.col("n._before").eqNullSafe(F.col(f"b.{at}")), "full_outer"
-    )
-    event = (
-        F.when(F.col(f"n.{key}").isNull(), "newest")
-        .when(F.col(f"b.{key}").isNull(), "inserted")
-        .when(~_same(attributes, "n", "b"), "changed")
-        .otherwise("unchanged")
-    )
-    return (
-        joined.withColumn("event", event)
-        .where(F.col("event").isin("inserted", "changed"))
-        .select(F.col(f"n.{key}"), F.col(f"n.{at}"), "event", *(F.col(f"n.{c}") for c in attributes))
-    )
+    base = df.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, at, *attributes, *(c for c in ("_period",) if c in df.columns))
+    now = cut(neighbours(base, key, at, list(carry)).select(key, at, "_before", *attributes))  # both sides of the join read it
+    before = now.select(F.col(key).alias("_b_key"), F.col(at).alias("_b_at"), F.struct(*attributes).alias("_b"))
+    joined = now.join(before, (F.col(key) == F.col("_b_key")) & (F.col("_before") == F.col("_b_at")), "full_outer")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col("_b")[c]) for c in attributes), F.lit(True))
+    event = F.when(F.col(key).isNull(), "newest").when(F.col("_b_key").isNull(), "inserted").when(~same, "changed").otherwise("unchanged")
+    return joined.withColumn("event", event).where(F.col("event").isin("inserted", "changed")).select(key, at, "event", *attributes)
 
 
 def latest_reports(df: DataFrame, key: str, at: str, seq: str, columns: list[str]) -> DataFrame:
-    """One row for each (key, at): the columns of the report that arrived last (highest seq; nulls count lowest)."""
+    """One row for each (key, at): the columns of the report that arrived last (highest seq; nulls count lowest), by_period.
+
+    Rows with a null key or time are left out. Repeated reports are few, so they are dealt by period once and combined there.
+    """
     value = F.struct(*(F.col(c) for c in columns))
-    return df.groupBy(key, at).agg(F.max_by(value, F.coalesce(F.col(seq), F.lit(-(2**63)))).alias("_v")).select(key, at, *(F.col("_v")[c].alias(c) for c in columns))
+    usable = df.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, at, seq, *(c for c in columns if c not in (key, at, seq)))
+    last = by_period(usable, key, at).groupBy(key, "_period", at).agg(F.max_by(value, F.coalesce(F.col(seq), F.lit(-(2**63)))).alias("_v"))
+    return last.select(key, at, "_period", *(F.col("_v")[c].alias(c) for c in columns))
 
 
 def periods(events: DataFrame, key: str, at: str, closing: tuple[str, ...] = ("deleted",)) -> DataFrame:
@@ -114,19 +113,16 @@ def report_history(df: DataFrame, key: str, at: str, seq: str, attributes: list[
 def snapshot_history(df: DataFrame, key: str, snapshot: str, attributes: list[str]) -> DataFrame:
     """History from whole snapshots: a key missing from a snapshot was deleted then.
 
-    df has one row for each (snapshot, key) (of repeated rows any one counts). Snapshots are numbered; each is joined
-    with the one before by a null-safe full outer join on (key, number), which classifies every key as inserted,
-    changed, unchanged or deleted. The table of snapshot times must be small: it has one row a snapshot.
+    df has one row for each (snapshot, key) (of repeated rows any one counts). Each snapshot is joined with the one before by
+    a null-safe full outer join on (key, time), which classifies every key as inserted, changed, unchanged or deleted. The
+    time that follows each snapshot is found in two levels too. A null key is a key; rows of a null snapshot are left out.
     """
-    rows = df.where(F.col(snapshot).isNotNull()).select(key, snapshot, *attributes).dropDuplicates([key, snapshot])
-    times = rows.select(snapshot).distinct().withColumn("_n", F.row_number().over(Window.orderBy(snapshot)))
-    numbered = rows.join(times, snapshot)
-    before = numbered.select(key, F.col("_n") + 1, *attributes).toDF(key, "_n", *attributes)
-    joined = numbered.alias("n").join(before.alias("b"), F.col(f"n.{key}").eqNullSafe(F.col(f"b.{key}")) & (F.col("n._n") == F.col("b._n")), "full_outer")
-    events = joined.select(
-        F.coalesce(f"n.{key}", f"b.{key}").alias(key),
-        F.coalesce("n._n", "b._n").alias("_n"),
-        F.when(F.col("n._n").isNull(), "deleted").when(F.col("b._n").isNull(), "inserted").when(~_same(attributes, "n", "b"), "changed").alias("event"),
-        *(F.col(f"n.{c}").alias(c) for c in attributes),
-    ).where(F.col("event").isNotNull())
-    return periods(events.join(times, "_n").drop("_n"), key, snapshot)
+    rows = df.where(F.col(snapshot).isNotNull()).select(F.struct(F.col(key).alias("k")).alias("_key"), F.col(snapshot).alias("_at"), *attributes).dropDuplicates(["_key", "_at"])
+    times = neighbours(rows.select("_at").distinct().withColumn("_one", F.lit(1)), "_one", "_at").select("_at", "_after")
+    before = rows.join(times, "_at").where("_after is not null").select(F.col("_key").alias("_b_key"), F.col("_after").alias("_b_at"), F.struct(*attributes).alias("_b"))
+    joined = rows.join(before, (F.col("_key") == F.col("_b_key")) & (F.col("_at") == F.col("_b_at")), "full_outer")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col("_b")[c]) for c in attributes), F.lit(True))
+    event = F.when(F.col("_at").isNull(), "deleted").when(F.col("_b_at").isNull(), "inserted").when(~same, "changed")
+    events = joined.select(F.coalesce("_key", "_b_key").alias("_key"), F.coalesce("_at", "_b_at").alias("_at"), event.alias("event"), *attributes).where("event is not null")
+    out = periods(events, "_key", "_at")
+    return out.select(F.col("_key")["k"].alias(key), "valid_from", "event", *attributes, "valid_to")

@@ -76,3 +76,12 @@ def test_meanings(spark):
     df = spark.createDataFrame([(" Ver 2021.1 ", "Not-Yet-Effective"), ("V.2021.2-F1", " ACTIVE"), ("", " "), (None, None)], "v string, s string")
     got = df.select(canonical_version(F.col("v")), canonical_status(F.col("s"))).collect()
     assert [tuple(r) for r in got] == [("2021.1", "not_yet_effective"), ("2021.2-f1", "active"), (None, None), (None, None)]
+
+
+def test_plan_of_report_history(spark):
+    """What is compared is dealt by (key, period) once; the rest of the plan exchanges checks, events and one row a period."""
+    rows = [("k", datetime(2024, 1, 1) + timedelta(days=i), i, str(i % 3), None, "", "") for i in range(60)]
+    out = report_history(spark.createDataFrame(rows, SCHEMA), "id", "at", "seq", ["a", "b"], carry=["b"])
+    assert out.count() == 60
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert 0 < plan.count("Exchange hashpartitioning") <= 10 and "ArrowEvalPython" not in plan
