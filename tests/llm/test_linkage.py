@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillspark.llm.linkage import LabelModel, address_key, candidates, link, records, resolver_id, vote_dates, with_title_parts
+from quillspark.llm.linkage import VETOES, VOTES, LabelModel, address_key, blocking, candidates, date_vote, link, pairing, ranked, records, resolver_id, votes, with_title_parts
 
 DRUGS = [a + b for a in "brena stiola kryome dovali umbero vixala torami glasto neferu quiste".split() for b in "mab nib pril stat vir".split()]
 PLACES = "Thorenby Garashire Moreska Selundra Kilestrand Penonte Ravamer Wynover Dunick Holulva".split()
@@ -110,4 +110,68 @@ def test_parts(spark):
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     host = F.when(resolver_id(F.col("u")) == "site-071", "pub.example")
     assert [r[0] for r in df.select(address_key(F.col("u"), host)).collect()] == ["pub.example/324856"] * 4 + [None, None]
-    assert vote_dates("2024-01-01", "2024-01-02") == 1 and vote_dates("2024", "2024-03") == 0 and vote_dates("2024-01", "2024-01-31") == 1 and vote_dates("2020", "2023-05-01") == -1 and vote_dates(None, "2024") == 0
+
+
+def test_date_votes(spark):
+    pairs = {("2024-01-01", "2024-01-02"): 1, ("2024", "2024-03"): 0, ("2024-01", "2024-01-31"): 1, ("2020", "2023-05-01"): -1, (None, "2024"): 0, ("2024-01-01T10:00:00Z", "2024-01-01"): 1, ("2024-01-01", "2024-03-01"): 0, ("2024-01", "2024-02-01"): 0}
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", date_vote(F.col("a"), F.col("b")).alias("v"))
+    assert [r.v for r in df.orderBy("i").collect()] == list(pairs.values())
+
+
+def test_pairing():
+    """Slips, words parted elsewhere and slips of light words are paired; other words are not."""
+    assert pairing([("brenamba", 1)], [("brenamab", 8)]) == (0, 0, 1)
+    assert pairing([("nightshift", 1)], [("night", 900), ("shift", 900)]) == (0, 0, 1)
+    assert pairing([("ge", 1), ("schoola", 1)], [("age", 900), ("school", 900)]) == (0, 0, 1)
+    assert pairing([("verss", 1), ("skni", 1)], [("skin", 900)]) == (1, 0, 1)
+    assert pairing([("verss", 1), ("donors", 700)], [("skin", 900)]) == (1, 1, 0)
+    assert pairing([("nurses", 900)], [("nurse", 800)]) == (1, 1, 0)
+    assert pairing([("donors", 700), ("kidney", 700)], [("older", 900)]) == (2, 1, 0)
+
+
+def planted(rng, n):
+    """Records of both sides and the true pairs: copies with slips, cut-off titles, and hard cases of other works."""
+    left, right, want = [], [], set()
+    told = {t.split(" at ")[0]: (t, *rest) for t, *rest in works(n, rng)}  # a title that is cut off names one work
+    for i, (t, day, number) in enumerate(told.values()):
+        left.append((f"e{i}", t, f"https://pub.example/articles/{number}", day, "x", 1))
+        place = t.rsplit(" ", 1)[1]
+        kind, k = i % 10, rng.randrange(2, 6)
+        other = rng.choice([p for p in PLACES if p != place])
+        title = {0: t, 1: typo(t, rng), 2: t.upper(), 3: t.split(" at ")[0] + "...", 4: t + ", part 2", 5: t.replace(place, other), 6: "Protocol: " + t, 7: typo(t, rng), 8: t[:-k] + chr(97 + rng.randrange(26)) + t[-k:], 9: None}[kind]
+        if title is None:
+            continue
+        same = kind not in (4, 5, 6)
+        url = f"http://m.pub.example/a/{number}" if rng.random() < (0.5 if same else 0.1) else None
+        right.append((f"s{i}", title, url, day if same and rng.random() < 0.7 else None if same or rng.random() < 0.5 else "2003-02-03", "x", 1))
+        if same:
+            want.add((f"e{i}", f"s{i}"))
+    return left, right, want
+
+
+def test_confidence_is_reliable(spark):
+    """Posterior against truth over all candidates: the pairs of each bin are true about as often as it says."""
+    left, right, want = planted(random.Random(8), 1000)
+    members = frame(spark, left, "l").unionByName(frame(spark, right, "r"))
+    rows = votes(candidates(members)).toPandas()
+    ids = {s: {r.rid: r.id for r in members.where(f"side = '{s}'").collect()} for s in "lr"}
+    true = np.array([(ids["l"][a], ids["r"][b]) in want for a, b in zip(rows.l_rid, rows.r_rid, strict=True)])
+    patterns, at, counts = np.unique(rows[VOTES].to_numpy(int), axis=0, return_inverse=True, return_counts=True)
+    posterior = LabelModel(vetoes=tuple(VOTES.index(v) for v in VETOES)).fit(patterns, counts).posterior(patterns)[at.ravel()]
+    table = {}
+    for low, high in ((0, 0.1), (0.1, 0.5), (0.5, 0.9), (0.9, 1.01)):
+        among = (posterior >= low) & (posterior < high)
+        table[low] = (int(among.sum()), float(posterior[among].mean()) if among.any() else 0.0, float(true[among].mean()) if among.any() else 0.0)
+    assert table[0][0] > 200 and table[0][2] < 0.01 and table[0.9][0] > 250 and table[0.9][2] > 0.99
+    assert sum(n for n, *_ in table.values()) == len(rows)
+    found = {(r.left_id, r.right_id) for r in link(frame(spark, left, "l"), frame(spark, right, "r")).collect()}
+    assert len(found & want) >= 0.97 * len(want) and len(found - want) <= 0.01 * len(found)
+
+
+def test_blocks_stay_narrow(spark):
+    """Words that many things have are keys in groups only, and a slip in the rarest word still meets."""
+    left, right, _ = planted(random.Random(3), 900)
+    rows, things = ranked(frame(spark, left, "l").unionByName(frame(spark, right, "r")))
+    keys = blocking(rows, things).groupBy("key").count()
+    assert keys.where("key like '1:%'").agg(F.max("count")).first()[0] <= 100 and keys.where("key rlike '^1:(study|cohort|older|adults)$'").count() == 0
+    assert things == len(left) + len(right)
