@@ -105,9 +105,18 @@ def address_key(url: Column, publisher: Column) -> Column:
     return F.when((number != "") & (place != "") & ~((inner == "") & path.rlike(r"^/w/[0-9a-f]+")), F.concat_ws("/", place, number))
 
 
+@lru_cache(500_000)
+def _letters(word: str) -> int:
+    """The letters of a word as bits; one edit changes two of them at most."""
+    bits = 0
+    for x in word:
+        bits |= 1 << (ord(x) % 61)
+    return bits
+
+
 def _near(a: str, b: str, most: int) -> bool:
     """Whether two words are within so many edits (insertion, deletion, change, swap of neighbours)."""
-    if abs(len(a) - len(b)) > most:
+    if abs(len(a) - len(b)) > most or (_letters(a) ^ _letters(b)).bit_count() > 2 * most:
         return False
     before, last = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -121,7 +130,6 @@ def _near(a: str, b: str, most: int) -> bool:
     return last[-1] <= most
 
 
-@lru_cache(500_000)
 def _slip(a: str, b: str) -> bool:
     n = min(len(a), len(b))
     return n >= 3 and _near(a, b, 1 if n < 5 else 2)
@@ -171,7 +179,7 @@ def pairing(only_a: list[tuple[str, int]], only_b: list[tuple[str, int]]) -> tup
                 break
         else:
             left.append((w, c))
-    while left and right and (_drop(left, right) or _drop(right, left)):
+    while len(left) + len(right) > 2 and left and right and (_drop(left, right) or _drop(right, left)):
         slips += 1
     if left and right:
         left, right = ([(w, c) for w, c in side if not (c < ESTABLISHED and any(_slip(w, x) for x in _LONG_LIGHT))] for side in (left, right))
@@ -387,9 +395,12 @@ def votes(pairs: DataFrame) -> DataFrame:
     none, small = (F.col("na") == 0) | (F.col("nb") == 0), F.least("na", "nb")
     # titles of other things: slips can't make up for so many words
     read = read.withColumn("apart", ~none & (3 * (F.col("na") - F.size("oa")) < small))
-    low, high = (lambda o: F.get(o, F.lit(0))["c"]), (lambda o: F.get(o, F.size(o) - 1)["c"])
-    slip = (F.least(low("oa"), low("ob")) < ESTABLISHED) | (low("oa") * RATIO <= high("ob")) | (low("ob") * RATIO <= high("oa"))
-    hard = ~none & ~F.col("apart") & (F.size("oa") > 0) & (F.size("ob") > 0) & slip
+    # one side can only be paired whole where its established words are taken by rare words of the other or are slips by their ratio
+    usual, low, high = (lambda o: F.filter(o, lambda x: x["c"] >= ESTABLISHED)), (lambda o: F.get(o, F.lit(0))["c"]), (lambda o: F.get(o, F.size(o) - 1)["c"])
+    read = read.withColumns({"ea": usual(F.col("oa")), "eb": usual(F.col("ob"))})
+    ratio = F.coalesce((low("ea") * RATIO <= high("eb")) | (low("eb") * RATIO <= high("ea")), F.lit(False))
+    whole = lambda a, b: F.size(f"e{a}") <= 2 * (F.size(f"o{b}") - F.size(f"e{b}"))
+    hard = ~none & ~F.col("apart") & (F.size("oa") > 0) & (F.size("ob") > 0) & (whole("a", "b") | whole("b", "a") | ratio)
     text = lambda o: F.when(hard, F.array_join(F.transform(o, lambda x: F.concat_ws(":", x["w"], x["c"].cast("string"))), " "))
     read = read.withColumn("hard", hard).withColumn("p", _pairings(text("oa"), text("ob")))
     left = lambda o, c: F.when(F.col("hard"), F.col("p")[c]).otherwise(F.size(o))
