@@ -24,7 +24,8 @@ from quillspark.session import bounded_rows
 
 EDITS = 2
 BROADCAST_LIMIT = 20_000
-MAX_CHARS = 200
+#: Names of more letters than this match without edits only: their deletions would grow with the square of their length.
+MOST_LETTERS = 200
 
 # Cyrillic and Greek letters that look like Latin ones.
 LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "к": "k", "м": "m", "т": "t", "н": "h", "в": "b", "і": "i", "ј": "j", "ѕ": "s", "ο": "o", "α": "a"}
@@ -86,9 +87,7 @@ class Typed:
 
 
 def read_typed(text: str) -> Typed | None:
-    """The parts of a typed text; None where it is blank, too long or names something computed."""
-    if len(text) > MAX_CHARS:
-        return None
+    """The parts of a typed text; None where it is blank or names something computed."""
     t = fold(text)
     t = re.sub(r"\[[^\]]*\]|\((?:serum|plasma|urine|whole blood|blood)\)", " ", t)
     t = METHODS.sub(" ", re.sub(r"^\s*test\s*:\s*", "", t))
@@ -122,7 +121,7 @@ def deletions(word: str, edits: int = EDITS) -> set[str]:
 
 def allowed(length: int) -> int:
     """The edits that a name of so many letters may have."""
-    return 0 if length < 4 else 1 if length < 6 else EDITS
+    return 0 if length < 4 or length > MOST_LETTERS else 1 if length < 6 else EDITS
 
 
 def stored(name: str) -> set[str]:
@@ -130,7 +129,7 @@ def stored(name: str) -> set[str]:
     out = set()
     for s in {shape(name), plain(name)}:
         out |= {"=" + x for x in deletions(s, allowed(len(s)))}
-        for k in range(4, len(s)):
+        for k in range(4, min(len(s), MOST_LETTERS + 1)):
             out |= {"<" + x for x in deletions(s[:k], 1 if k >= 6 else 0)}
     return out
 
@@ -140,7 +139,7 @@ def probed(typed: Typed) -> set[str]:
     out = set()
     for s in {shape(typed.letters), plain(typed.letters)} - {""}:
         out |= {"=" + x for x in deletions(s, allowed(len(s)))}
-        if typed.short and len(s) >= 4:
+        if typed.short and 4 <= len(s) <= MOST_LETTERS:
             out |= {"<" + x for x in deletions(s, 1 if len(s) >= 6 else 0)}
     return out
 
@@ -182,11 +181,10 @@ def cost(typed: Typed, name: str) -> float | None:
     s, r = shape(raw), shape(ref)
     if s == r:
         return 0.0
-    best = None
-    d = min(distance(s, r), distance(raw, ref))
-    if d <= min(allowed(len(raw)), allowed(len(ref))):
+    best, most = None, min(allowed(len(raw)), allowed(len(ref)))
+    if most and (d := min(distance(s, r), distance(raw, ref))) <= most:
         best = d
-    if typed.short and 4 <= len(s) < len(r):
+    if typed.short and len(s) <= MOST_LETTERS and 4 <= len(s) < len(r):
         d = min(distance(x, y[:k]) for x, y in {(s, r), (raw, ref)} for k in range(max(4, len(x) - 1), min(len(y), len(x) + 1) + 1))
         if d == 0 or d <= 1 and len(s) >= 6:
             best = min(0.5 + 1.2 * d, best if best is not None else 9.0)
@@ -256,8 +254,8 @@ def map_names(
 ) -> DataFrame:
     """typed with the reference key that each text means in a new column, null where it means none.
 
-    reference comes from reference_rows; usage has (key, n), how often a key is used, for ties. Null, blank and
-    over-long texts (200 characters) and texts that name something computed give null. Every row is kept, repeated
+    reference comes from reference_rows; usage has (key, n), how often a key is used, for ties. Null and
+    blank texts and texts that name something computed give null; texts of any length are read whole. Every row is kept, repeated
     rows alike; an empty list gives nulls. Ties go to the more often used key, then to the first base in order.
     """
     spark = typed.sparkSession

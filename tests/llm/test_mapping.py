@@ -72,3 +72,14 @@ def test_distance():
     assert distance("abc", "abc") == 0 and distance("abc", "acb") == 0.8 and distance("abc", "abbc") == 0.6 and distance("abl", "ab1") == 0.3
     assert distance("a", "abcdef") > 2 and allowed(3) == 0
     assert deletions("abcd", 2) == {"abcd", "bcd", "acd", "abd", "abc", "cd", "bd", "bc", "ad", "ac", "ab"}
+
+
+@pytest.mark.parametrize("limit", [20_000, 1])
+def test_long_names(spark, limit):
+    """Names of any length match; over MOST_LETTERS letters without edits."""
+    long = "zoko" * 100
+    reference = reference_rows(spark.createDataFrame([("a", long, "LNG", None), ("b", "Nezoate", "NZT", [])], "k string, n string, c string, s array<string>"), "k", "n", "c", "s")
+    usage = spark.createDataFrame([], "key string, n bigint")
+    typed = spark.createDataFrame([(1, long.upper()), (2, long + "x"), (3, "nezoate" + " [" + "x" * 400 + "]"), (4, "y" * 100_000)], "i int, t string")
+    got = {r.i: r.mapped_key for r in map_names(typed, "t", reference, usage, broadcast_limit=limit).collect()}
+    assert got == {1: "a", 2: None, 3: "b", 4: None}
