@@ -65,7 +65,7 @@ class Vocabulary(dict):
         self.words: list[str] = [""]
 
     def __missing__(self, piece: str) -> int:
-        word = _EDGES.sub("", piece).lower()[:60]
+        word = _EDGES.sub("", piece).lower()
         if any(c.isdigit() for c in word):
             word = "0"
         if (n := self.number.get(word)) is None:
