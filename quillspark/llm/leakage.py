@@ -28,6 +28,8 @@ N = 3
 FEW = 2
 #: Windows of few items that a document has to share with an item before it is verified.
 HITS = 4
+#: A case of fewer words than this is found only where it stands whole and in order: any part of it is a short quote.
+SHORT = 10
 #: The share of a case's words that must be repeated; a little under two fifths, for words that were retouched.
 SHARE = 0.36
 #: The share of a case's own words (names, figures) that must be repeated.
@@ -124,7 +126,7 @@ def indexed(grams: list, held: list[int], n: int) -> list:
         seen.add(g)
     size = min(len(rare), max(1, int(np.ceil(SHARE * n)) - N + 1))
     sums = np.concatenate([[0], np.cumsum(rare)])
-    if len(rare) and (sums[size:] - sums[: len(sums) - size]).min() < HITS:
+    if n < SHORT or len(rare) and (sums[size:] - sums[: len(sums) - size]).min() < HITS:
         return list(seen)
     return [g for g, r in zip(grams, rare, strict=True) if r]
 
@@ -138,6 +140,10 @@ class Items:
     index: dict[tuple[str, ...], tuple[int, ...]]
     members: dict[int, tuple[int, ...]]
 
+    def least(self, item: int) -> int:
+        """The windows that a text has to share with a case before it is verified."""
+        return min(HITS, max(1, len(set(windows(self.cases[item])))))
+
     @staticmethod
     def build(items: list[tuple[int, str]]) -> Items:
         classes, held, words_in = defaultdict(list), Counter(), Counter()
@@ -166,6 +172,8 @@ class Items:
         case, own = self.cases[item], self.own[item]
         if not case:
             return False
+        if len(case) < SHORT:
+            return any(ws[k : k + len(case)] == case for k, w in enumerate(ws) if w == case[0])
         have, near = set(windows(ws)), set(zip(ws, ws[2:], strict=False)) | set(zip(ws, ws[1:], strict=False))
         n = len(case)
         covered = bytearray(n)
@@ -248,7 +256,7 @@ class Scanner:
         """The items that each text repeats."""
         out: list[list[int]] = [[] for _ in texts]
         for t, counts in self.hits(texts).items():
-            if among := [c for c, n in counts.items() if n >= HITS]:
+            if among := [c for c, n in counts.items() if n >= self.items.least(c)]:
                 ws = words(texts[t])
                 out[t] = sorted({i for c in among if self.items.verify(c, ws) for i in self.items.members[c]})
         return out
@@ -270,6 +278,7 @@ FOUND = T.ArrayType(T.LongType())
 def leaks(documents: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, broadcast_items: int = BROADCAST_ITEMS) -> DataFrame:
     """Rows (key, item_key), one for each document and each item whose case it repeats.
 
+    A case of under ten words (SHORT) counts where it stands whole; one of under three words has no window and is no passage.
     Null and empty texts on either side give nothing; repeated rows of a key count once; an empty table on either side
     gives an empty result; texts of any length are read whole. Further columns are ignored.
     """
@@ -368,6 +377,7 @@ def _leaks_by_join(texts: DataFrame, items: DataFrame, key: str, item_key: str)
     kept = grams.join(held, "g").groupBy("c").agg(in_order("g", "n").alias("x")).select("c", F.explode(_indexed("x.g", "x.n")).alias("g"))
     keyed = texts.select(key, F.xxhash64("_t").alias("_v"), "_t")
     hits = keyed.select(key, "_v", F.explode(_window_hashes("_t")).alias("g")).join(kept, "g").select(key, "_v", "g", "c").distinct()
-    pairs = hits.groupBy(key, "_v", "c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HITS)
+    least = classes.select("c", F.least(F.lit(HITS), F.size(F.array_distinct(_case_hashes("case")))).alias("least"))
+    pairs = hits.groupBy(key, "_v", "c").agg(F.count(F.lit(1)).alias("n")).join(least, "c").where(F.col("n") >= F.col("least")).drop("least")
     checked = pairs.join(keyed.dropDuplicates([key, "_v"]), [key, "_v"]).join(classes.join(own, "c"), "c").where(_verified("_t", "case", "own"))
     return checked.select(key, "c").distinct().join(read.select("c", "i"), "c").select(key, F.col("i").alias(item_key)).distinct()

@@ -118,3 +118,16 @@ def test_scanner_finds_what_sets_find():
 def test_cases():
     assert "Read the case" not in CASES[0] and "(A)" not in CASES[0] and CASES[0].startswith("Station")
     assert case_texts([(1, "only this one")]) == {1: "only this one"}
+
+
+@pytest.mark.parametrize("limit", [20_000, 1])
+def test_short_and_long_cases(spark, limit):
+    """A case of five words is found where it stands whole, one of 10,000 words where two fifths stand; both ways alike."""
+    rng = random.Random(6)
+    long = " ".join("".join(rng.choice("abdeilmnorstu") for _ in range(7)) for _ in range(10_000))
+    five = "Zerrin counted nine blue barges"
+    items = spark.createDataFrame([*ITEMS, (500, five), (501, five), (502, long), (503, "two words")], "item_id bigint, text string")
+    part = " ".join(long.split()[3000:7600])
+    docs = spark.createDataFrame([(1, FILL + " ZERRIN counted nine\nblue barges. " + FILL), (2, FILL + " Zerrin counted nine old barges. " + FILL), (3, FILL + " " + part), (4, "two words"), (5, " ".join(long.split()[:2000]))], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id) for r in leaks(docs, items, "doc_id", "text", "item_id", "text", broadcast_items=limit).collect())
+    assert got == [(1, 500), (1, 501), (3, 502)]
