@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from decimal import Decimal
 from fractions import Fraction
 from functools import lru_cache
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -104,9 +104,8 @@ def tidy_unit(text: str) -> str:
 @lru_cache(65536)
 def read_unit(text: str) -> tuple[Reading, ...]:
     """All readings (dimension, scale, offset) of a unit text; none where it is no unit expression."""
-    if not text or len(text) > 60:
+    if not text or not (t := tidy_unit(text)):
         return ()
-    t = tidy_unit(text)
     found: list[Reading] = []
     if (heat := HEATS.get(re.sub(r"[\s.]+", "", t.lower()))) is not None:
         found.append((HEAT, *heat))
@@ -123,7 +122,7 @@ def read_unit(text: str) -> tuple[Reading, ...]:
             if sign < 0:
                 return tuple(found)
             sign, at, bare = -1, at + 1, True
-        elif m := _POWER.match(t, at):
+        elif (m := _POWER.match(t, at)) and len(m[1]) <= 4:
             parts.append([(NONE, Fraction(10) ** (sign * int(m[1])), False)])
             at, bare = m.end(), False
         elif m := _PLAIN.match(t, at):
@@ -132,8 +131,7 @@ def read_unit(text: str) -> tuple[Reading, ...]:
         elif m := _WORD.match(t, at):
             if not (readings := _word_readings(m[1])):
                 return tuple(found)
-            n = sign * int(m[2] or 1)
-            if abs(n) > 4:
+            if len(m[2] or "") > 4 or abs(n := sign * int(m[2] or 1)) > 4:
                 return tuple(found)
             parts.append([(tuple(n * x for x in d), s**n, real) for d, s, real in readings])
             at, bare = m.end(), False
@@ -141,12 +139,10 @@ def read_unit(text: str) -> tuple[Reading, ...]:
             return tuple(found)
     if bare:
         return tuple(found)
-    for combo in product(*parts):
-        d, s = NONE, Fraction(1)
-        for x, y, _ in combo:
-            d, s = _times(d, x), s * y
-        if any(real for _, _, real in combo):
-            found.append((d, s, Fraction(0)))
+    combos = [(NONE, Fraction(1), False)]
+    for part in parts:  # equal products are kept once, so their number doesn't grow with the power of the factors
+        combos = list(dict.fromkeys((_times(d, x), s * y, is_unit or real) for d, s, is_unit in combos for x, y, real in part))
+    found += [(d, s, Fraction(0)) for d, s, is_unit in combos if is_unit]
     return tuple(dict.fromkeys(found))
 
 
@@ -190,7 +186,7 @@ def read_number(text: str, mark: str) -> tuple[Fraction, str] | None:
     mark is the decimal mark; the other of point and comma, a blank or an apostrophe may group thousands.
     """
     t = text.replace("−", "-").strip()
-    if not t or len(t) > 200 or not (m := _number(mark).match(t)):
+    if not t or not (m := _number(mark).match(t)):
         return None
     digits = re.sub(r"[^\d.+-]", "", m[1].replace(mark, "\0").replace(".", "").replace("\0", "."))
     rest, power = m[4], int(m[2] or m[3] or 0)
@@ -198,7 +194,7 @@ def read_number(text: str, mark: str) -> tuple[Fraction, str] | None:
         return None
     if re.match(r"\s*(?:[-–—…]|\.\.|to\b|bis\b|±|\+/-)\s*\d", rest):
         return None
-    return Fraction(digits) * Fraction(10) ** power, rest
+    return Fraction(Decimal(digits)) * Fraction(10) ** power, rest
 
 
 def convert(text: str | None, mark: str | None, places: list[str | None], target: str | None, molar_mass: float | None) -> Fraction | None:
@@ -233,11 +229,13 @@ def value_milli(text: Column, mark: Column, target: Column, molar_mass: Column,
     """A thousandth-unit integer: the text's number in the target unit times 1,000, rounded to the nearest integer.
 
     Null where the text gives no single number or no place names a unit that converts. A sign of comparison is ignored.
-    Null inputs, empty and very long texts (over 200 characters: no number) give null; an unknown mark is read as a point.
+    Null inputs and empty texts give null, texts of any length are read whole; an unknown mark is read as a point.
     """
     return _milli(text, mark, target, molar_mass.cast("double"), *places)
 
 
+#: A unit at the end of a label is sought within so many characters of its end.
+LONGEST_UNIT = 300
 _CUTS = re.compile(r"\s+in\s+|,\s*|\s*[\[(]\s*|:\s*|\s+")
 
 
@@ -245,7 +243,7 @@ _CUTS = re.compile(r"\s+in\s+|,\s*|\s*[\[(]\s*|:\s*|\s+")
 def split_label(label: str) -> tuple[str, str | None]:
     """A label such as "Name, free [mg/L]" cut into the name and the unit at its end, if one stands there."""
     t = label.strip()
-    for m in _CUTS.finditer(t):
+    for m in _CUTS.finditer(t, max(0, len(t) - LONGEST_UNIT)):
         head, tail = t[: m.start()].rstrip(" ,:-"), t[m.end() :].strip()
         if head and tail and read_unit(tail if tail[-1:] not in "])" or tail.count("(") + tail.count("[") else tail[:-1]):
             return head, tail[:-1] if tail[-1:] in "])" and not tail.count("(") + tail.count("[") else tail
@@ -258,9 +256,9 @@ LABEL = T.StructType([T.StructField("name", T.StringType()), T.StructField("unit
 @F.pandas_udf(LABEL)
 def _label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in batches:
-        yield pd.DataFrame([split_label(x) if isinstance(x, str) and len(x) <= 300 else (x, None) for x in s], columns=["name", "unit"])
+        yield pd.DataFrame([split_label(x) if isinstance(x, str) else (x, None) for x in s], columns=["name", "unit"])
 
 
 def label_parts(label: Column) -> Column:
-    """A struct (name, unit) of a label; labels over 300 characters are all name."""
+    """A struct (name, unit) of a label of any length; a null label gives nulls."""
     return _label(label)

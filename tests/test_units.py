@@ -72,3 +72,10 @@ def test_in_spark(spark):
     out = df.select(value_milli(F.col("v"), F.col("m"), F.col("t"), F.col("mass"), F.col("u")).alias("x"))
     assert [r.x for r in out.collect()] == [50_000, 5_000_000, 9460, 210, 7000, None, None, None, None, 710_000, None] * 2
     assert df.limit(0).select(value_milli(F.col("v"), F.col("m"), F.col("t"), F.col("mass"), F.col("u"))).count() == 0
+
+
+def test_texts_of_any_length():
+    """Blanks, long numbers and long labels are read whole and end quickly."""
+    assert read_unit("mg/L" + " " * 500) == read_unit("mg/L") and read_unit("mg" * 30_000) == () and read_unit("m" + "9" * 5000) == ()
+    assert read_number("0." + "0" * 7000 + "1", ".")[0] > 0 and read_number("1" * 6000 + " mg", ".")[1].strip() == "mg"
+    assert split_label("name " * 400 + "[mg/L]")[1] == "mg/L" and split_label("x" * 100_000)[1] is None
