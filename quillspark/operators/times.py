@@ -376,7 +376,7 @@ def parse_times(text: pd.Series, zone: pd.Series, order: pd.Series) -> pd.DataFr
                 words.append(c)
             groups.setdefault((m, tuple(words)), []).append(j)
         for (mask, words), members in groups.items():
-            if "?" in words or len(mask) > 64 or not (plan := _plan(mask, words)):
+            if "?" in words or not (plan := _plan(mask, words)):
                 continue
             rows = np.array([known[j] for j in members])
             out, seconds, ok, kind = _group(*plan, [tidy[j] for j in members], zones[rows], orders[rows])
