@@ -84,6 +84,9 @@ def opposed(df: DataFrame, keys: list[str], direction: str, position: str) -> Da
 
 
 def relative_days(df: DataFrame, key: str, day: str) -> DataFrame:
-    """df with days_before_latest, the days before the latest day of the key. The latest days are joined, not windowed."""
+    """df with relative_day (day - latest day of the key: 0 or less) and days_before_latest, its opposite.
+
+    The latest days are joined, not windowed; rows without a day have nulls.
+    """
     last = df.groupBy(F.col(key).alias("_k")).agg(F.max(day).alias("_last"))
-    return df.join(last, F.col(key).eqNullSafe(F.col("_k")), "left").withColumn("days_before_latest", F.datediff("_last", day)).drop("_k", "_last")
+    return df.join(last, F.col(key).eqNullSafe(F.col("_k")), "left").withColumns({"relative_day": F.datediff(day, "_last"), "days_before_latest": F.datediff("_last", day)}).drop("_k", "_last")

@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The notation of one numeric token.
 TOKEN = r"^\s*(<=|>=|<|>|=|≤|≥)?\s*([-+−]?(?:[0-9]+(?:[.,][0-9]+)?|[.,][0-9]+)(?:[eE][-+]?[0-9]{1,3})?)\s*$"
 # Words of qualitative results and of missing ones.
-QUALITATIVE = ["negative", "positive", "neg", "pos", "normal", "abnormal", "detected", "not detected", "reactive", "non-reactive", "trace"]
-NO_RESULT = ["not done", "cancelled", "canceled", "qns", "n/a", "hemolysed", "hemolyzed", "pending", "—", "-", ""]
+QUALITATIVE = ["не обнаружено", "обнаружено", "положительный", "отрицательный", "positive", "negative", "detected", "not detected"]
+NO_RESULT = {"": "not_reported", "материал непригоден": "invalid_specimen", "invalid specimen": "invalid_specimen", "отменён": "cancelled", "отменен": "cancelled", "cancelled": "cancelled"}
+SEMIQUANTITATIVE = r"^(\+{1,4}|[0-9]+:[0-9]+)$"
 
 
 def numeric_token(text: Column) -> dict[str, Column]:
@@ -35,19 +37,25 @@ def comparator_name(sign: Column) -> Column:
 
 
 def result_kind(text: Column) -> Column:
-    """numeric_exact, numeric_censored, qualitative, semiquantitative, no_result or text_unparsed."""
-    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    """numeric_exact, numeric_censored, qualitative, semiquantitative, no_result or text_unparsed; null is no result."""
+    t = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))
     token = numeric_token(t)
     return (
         F.when(t.isin(*NO_RESULT), "no_result")
         .when(token["number"].isNotNull() & token["comparator"].isNull(), "numeric_exact")
         .when(token["number"].isNotNull(), "numeric_censored")
         .when(t.isin(*QUALITATIVE), "qualitative")
-        .when(t.rlike(r"^\++$|^[0-9]+\s*:\s*[0-9]+$"), "semiquantitative")
+        .when(t.rlike(SEMIQUANTITATIVE), "semiquantitative")
         .otherwise("text_unparsed")
     )
 
 
+def missing_reason(text: Column) -> Column:
+    """Why a text gives no result: not_reported, invalid_specimen or cancelled; null where it may give one."""
+    t = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))
+    return F.coalesce(*(F.when(t == w, reason) for w, reason in NO_RESULT.items()))
+
+
 def interval_relation(value: Column, low: Column, high: Column, low_inclusive: Column | bool = True, high_inclusive: Column | bool = True, censored: Column | bool = False) -> Column:
     """below, within, above or indeterminate. An open side is null; a censored or null value and no side at all are indeterminate."""
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)

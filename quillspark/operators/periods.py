@@ -27,14 +27,16 @@ def freshness(checked: Column, as_of: Column, stale_after_days: int) -> dict[str
     return {"age_days": F.greatest(age, F.lit(0)).alias("age_days"), "stale": (F.coalesce(age < 0, F.lit(True)) | (age > stale_after_days)).alias("stale")}
 
 
-def status_on(as_of: Column, effective_from: Column, effective_until: Column, withdrawn_on: Column) -> Column:
-    """A document's status on a day. It is withdrawn from the day itself, but superseded only after effective_until."""
-    return (
-        F.when(withdrawn_on <= as_of, "withdrawn")
-        .when(effective_from > as_of, "not_yet_effective")
-        .when(effective_until < as_of, "superseded")
-        .otherwise("active")
-    )
+def status_on(as_of: Column, effective_from: Column, effective_until: Column, withdrawn_on: Column, changed_on: Column | None = None, declared: Column | None = None) -> Column:
+    """A document's status on a day.
+
+    It is withdrawn from the day itself, but superseded only after effective_until. A declared status of superseded or
+    withdrawn holds from the day it changed on. Before effective_from nothing else counts.
+    """
+    out = F.when(effective_from > as_of, "not_yet_effective").when(withdrawn_on <= as_of, "withdrawn").when(effective_until < as_of, "superseded")
+    if changed_on is not None and declared is not None:
+        out = out.when((changed_on <= as_of) & declared.isin("superseded", "withdrawn"), declared)
+    return out.otherwise("active")
 
 
 def within_clock(minute: Column, start: Column, end: Column) -> Column:

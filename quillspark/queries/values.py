@@ -156,6 +156,11 @@ def opposed_groups(spark, d):
     return L.opposed(rows, ["l_partkey", "l_suppkey"], "direction", "l_linestatus")
 
 
+def relative_days(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("on"))
+    return L.relative_days(rows, "o_custkey", "on").select("o_orderkey", "relative_day")
+
+
 def days_before_latest(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("on"))
     return L.relative_days(rows, "o_custkey", "on").select("o_orderkey", "days_before_latest")
@@ -234,16 +239,6 @@ def cycles(spark, d):
     return cyclic_nodes(edges.unionByName(back))
 
 
-def states(spark, d) -> DataFrame:
-    docs = table(spark, d, "guideline_documents")
-    rows = L.latest(docs, ["document_id"], "seq", ["published_on", "effective_until", "withdrawn_on", "jurisdictions"])
-    return rows.withColumnRenamed("published_on", "effective_from")
-
-
-def guidance_in_force(spark, d):
-    return G.in_force(states(spark, d), table(spark, d, "version_relations"), AS_OF, "EU")
-
-
 def ranked_evidence(spark, d):
     return G.ranked_evidence(table(spark, d, "evidence_snapshot"), "evidence_id", F.coalesce("study_design", "source_type"), F.col("published_at"), 100)
 
@@ -253,9 +248,9 @@ def evidence_page(spark, d):
 
 
 def recent_orders(spark, d):
-    """The last 20 orders of all, in order."""
+    """The last 20 orders of all, oldest first."""
     rows = table(spark, d, "orders").select("o_orderkey", day("o_orderdate").alias("order_day"))
-    return rows.orderBy(F.desc("order_day"), F.desc("o_orderkey")).limit(20)
+    return rows.orderBy(F.desc("order_day"), F.desc("o_orderkey")).limit(20).orderBy("order_day", "o_orderkey")
 
 
 def allowed_hosts(spark, d):
@@ -278,15 +273,15 @@ QUERIES = {
     f.__name__: f
     for f in (
         numeric_tokens, result_kinds, interval_relations, listed_conversion, first_to_last, exact_percents, time_bounds, overlap_history, check_freshness, status_by_date, known_documents, daily_history,
-        latest_events, latest_by_trust, document_versions, chain_breaks, order_chronology, import_budget, one_to_one_pairs, shared_sources, opposed_groups, days_before_latest, review_counts,
+        latest_events, latest_by_trust, document_versions, chain_breaks, order_chronology, import_budget, one_to_one_pairs, shared_sources, opposed_groups, relative_days, days_before_latest, review_counts,
         key_difference, group_counts, group_digests, tree_changes, manifest_status, dangling_keys, prefix_breaks, broken_rules,
-        supersession, cycles, guidance_in_force, ranked_evidence, evidence_page, recent_orders, allowed_hosts, jurisdiction_filter, source_cover,
+        supersession, cycles, ranked_evidence, evidence_page, recent_orders, allowed_hosts, jurisdiction_filter, source_cover,
     )
 }
 
 _VERSION = r"nullif(regexp_replace(regexp_replace(lower({0}), '[\s ]+', '', 'g'), '^(version|vers|ver|v)[.:]?([0-9])', '\2'), '')"
 _STATUS = r"nullif(replace(trim(regexp_replace(lower({0}), '[\s _-]+', ' ', 'g')), ' ', '_'), '')"
-_ACTIVE = "CASE WHEN withdrawn_on <= DATE '2024-06-30' THEN 'withdrawn' WHEN published_on > DATE '2024-06-30' THEN 'not_yet_effective' WHEN effective_until < DATE '2024-06-30' THEN 'superseded' ELSE 'active' END"
+_ACTIVE = "CASE WHEN published_on > DATE '2024-06-30' THEN 'not_yet_effective' WHEN withdrawn_on <= DATE '2024-06-30' THEN 'withdrawn' WHEN effective_until < DATE '2024-06-30' THEN 'superseded' ELSE 'active' END"
 _NORM = "CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') END"
 _BOUNDS = f"""SELECT o_orderkey, CASE length({_NORM}) WHEN 4 THEN date_trunc('year', o_orderdate) WHEN 7 THEN date_trunc('month', o_orderdate) WHEN 10 THEN o_orderdate END::DATE AS low,
     CASE length({_NORM}) WHEN 4 THEN date_trunc('year', o_orderdate) + INTERVAL 1 YEAR - INTERVAL 1 DAY WHEN 7 THEN last_day(o_orderdate) WHEN 10 THEN o_orderdate END::DATE AS high FROM orders"""
@@ -294,16 +289,19 @@ _CLOSURE = """
     seed AS (SELECT DISTINCT target AS node FROM e WHERE relation = 'supersedes'),
     gone AS (SELECT node FROM seed UNION SELECT CASE WHEN e.source = g.node THEN e.target ELSE e.source END FROM gone g JOIN e ON e.source = g.node OR (e.target = g.node AND e.relation IN ('amends', 'focused_update')))"""
 _EDGES = "SELECT source_document_id AS source, target_document_id AS target, relation_type AS relation FROM version_relations WHERE effective_from <= DATE '2024-06-30' AND source_document_id IS NOT NULL AND target_document_id IS NOT NULL"
-_WEIGHT = "CASE lower(coalesce(study_design, source_type)) " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in G.WEIGHTS.items()) + " ELSE 0 END"
+_WEIGHT = """CASE WHEN k IN ('clinical_guideline', 'guideline') THEN 100 WHEN k IN ('systematic_review', 'systematic review', 'meta_analysis', 'meta-analysis') THEN 90
+    WHEN k IN ('randomized_trial', 'randomised trial', 'randomized_controlled_trial', 'cluster trial', 'crossover trial') THEN 80 WHEN k IN ('cohort', 'cohort study', 'diagnostic_accuracy', 'diagnostic accuracy study', 'registry analysis') THEN 65
+    WHEN k IN ('case_control', 'case-control study') THEN 55 WHEN k IN ('cross_sectional', 'cross-sectional survey') THEN 45 WHEN k IN ('narrative_review', 'narrative review') THEN 35 WHEN k = 'journal_article' THEN 30 ELSE 0 END"""
 
 SQL = {
     "numeric_tokens": rf"""
         SELECT row_id, CASE regexp_extract(value, '{N.TOKEN}', 1) WHEN '<' THEN 'lt' WHEN '<=' THEN 'le' WHEN '≤' THEN 'le' WHEN '>' THEN 'gt' WHEN '>=' THEN 'ge' WHEN '≥' THEN 'ge' ELSE '' END AS comparator,
         replace(replace(regexp_extract(value, '{N.TOKEN}', 2), ',', '.'), '−', '-') AS number FROM ingest WHERE regexp_matches(value, '{N.TOKEN}')""",
-    "result_kinds": rf"""
-        WITH t AS (SELECT seq, lower(trim(coalesce(result.raw, ''), ' ')) AS t FROM private_answers)
-        SELECT seq, CASE WHEN t IN ({", ".join(f"'{w}'" for w in N.NO_RESULT)}) THEN 'no_result' WHEN regexp_matches(t, '{N.TOKEN}') AND regexp_extract(t, '{N.TOKEN}', 1) IN ('', '=') THEN 'numeric_exact'
-        WHEN regexp_matches(t, '{N.TOKEN}') THEN 'numeric_censored' WHEN t IN ({", ".join(f"'{w}'" for w in N.QUALITATIVE)}) THEN 'qualitative' WHEN regexp_matches(t, '^\++$|^[0-9]+\s*:\s*[0-9]+$') THEN 'semiquantitative' ELSE 'text_unparsed' END AS kind FROM t""",
+    "result_kinds": r"""
+        WITH t AS (SELECT seq, lower(trim(coalesce(result.raw, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')) AS t FROM private_answers),
+        n AS (SELECT *, regexp_extract(t, '^(<=|>=|<|>|=|≤|≥)?\s*[-+−]?([0-9]+([.,][0-9]+)?|[.,][0-9]+)(e[-+]?[0-9]{1,3})?$', 1) AS sign, regexp_full_match(t, '(<=|>=|<|>|=|≤|≥)?\s*[-+−]?([0-9]+([.,][0-9]+)?|[.,][0-9]+)(e[-+]?[0-9]{1,3})?') AS numeric FROM t)
+        SELECT seq, CASE WHEN t IN ('', 'материал непригоден', 'invalid specimen', 'отменён', 'отменен', 'cancelled') THEN 'no_result' WHEN numeric AND sign IN ('', '=') THEN 'numeric_exact' WHEN numeric THEN 'numeric_censored'
+        WHEN t IN ('не обнаружено', 'обнаружено', 'положительный', 'отрицательный', 'positive', 'negative', 'detected', 'not detected') THEN 'qualitative' WHEN regexp_full_match(t, '\+{1,4}|[0-9]+:[0-9]+') THEN 'semiquantitative' ELSE 'text_unparsed' END AS kind FROM n""",
     "interval_relations": """
         WITH r AS (SELECT o_orderkey, o_totalprice AS v, CASE o_orderpriority WHEN '1-URGENT' THEN 50000 WHEN '3-MEDIUM' THEN 100000 END AS lo, CASE o_orderpriority WHEN '1-URGENT' THEN 250000 WHEN '2-HIGH' THEN 200000 END AS hi FROM orders),
         c AS (SELECT o_orderkey, CASE WHEN v IS NULL OR (lo IS NULL AND hi IS NULL) THEN 'indeterminate' WHEN v < lo THEN 'below' WHEN v >= hi THEN 'above' ELSE 'within' END AS relation FROM r)
@@ -355,6 +353,7 @@ SQL = {
     "opposed_groups": """
         WITH g AS (SELECT l_partkey, l_suppkey, count(*) AS n, bool_or(l_returnflag = 'R') AS a, bool_or(l_returnflag <> 'R') AS f, count(DISTINCT l_linestatus) AS p FROM lineitem GROUP BY ALL HAVING count(*) >= 2)
         SELECT l_partkey, l_suppkey, 'direction' AS kind, n FROM g WHERE a AND f UNION ALL SELECT l_partkey, l_suppkey, 'position', n FROM g WHERE p > 1""",
+    "relative_days": "SELECT o_orderkey, -date_diff('day', o_orderdate::DATE, max(o_orderdate::DATE) OVER (PARTITION BY o_custkey)) AS relative_day FROM orders",
     "days_before_latest": "SELECT o_orderkey, date_diff('day', o_orderdate::DATE, max(o_orderdate::DATE) OVER (PARTITION BY o_custkey)) AS days_before_latest FROM orders",
     "review_counts": """
         WITH l AS (SELECT user_id, arg_max(event_type, event_id) AS e FROM events GROUP BY user_id)
@@ -384,13 +383,8 @@ SQL = {
         reach AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM reach r JOIN e ON r.t = e.s), c AS (SELECT s AS node FROM reach WHERE s = t),
         before AS (SELECT DISTINCT r.s AS node FROM reach r JOIN c ON r.t = c.node), after AS (SELECT DISTINCT r.t AS node FROM reach r JOIN c ON r.s = c.node)
         SELECT node FROM before INTERSECT SELECT node FROM after""",
-    "guidance_in_force": f"""
-        WITH RECURSIVE l AS (SELECT document_id, arg_max(struct_pack(p := published_on, u := effective_until, w := withdrawn_on, j := jurisdictions), seq) AS v FROM guideline_documents GROUP BY 1),
-        d AS (SELECT document_id, v.p AS published_on, v.u AS effective_until, v.w AS withdrawn_on FROM l WHERE list_has_any(v.j, ['EU', 'GLOBAL'])),
-        s AS (SELECT document_id, {_ACTIVE} AS status FROM d), a AS ({_EDGES}), e AS (SELECT a.* FROM a SEMI JOIN d ON a.source = d.document_id), e2 AS (SELECT e.* FROM e SEMI JOIN d ON e.target = d.document_id), {_CLOSURE.replace(" e ", " e2 ").replace("e.", "e2.")}
-        SELECT document_id, CASE WHEN status = 'active' AND document_id IN (SELECT node FROM gone) THEN 'superseded' ELSE status END AS status FROM s""",
     "ranked_evidence": f"""
-        SELECT DISTINCT evidence_id, {_WEIGHT} AS weight, CASE WHEN regexp_full_match(published_at[1:4], '[0-9]{{4}}') THEN published_at[1:4]::INT ELSE 0 END AS year FROM evidence_snapshot ORDER BY weight DESC, year DESC, evidence_id LIMIT 100""",
+        SELECT DISTINCT evidence_id, {_WEIGHT} AS weight, CASE WHEN regexp_full_match(published_at[1:4], '[0-9]{{4}}') THEN published_at[1:4]::INT ELSE 0 END AS year FROM (SELECT *, lower(coalesce(study_design, source_type)) AS k FROM evidence_snapshot) ORDER BY weight DESC, year DESC, evidence_id LIMIT 100""",
     "evidence_page": "SELECT snapshot_id, evidence_id FROM evidence_snapshot WHERE snapshot_id > 'es-00000100' ORDER BY snapshot_id LIMIT 51",
     "recent_orders": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS order_day FROM orders ORDER BY o_orderdate::DATE DESC, o_orderkey DESC LIMIT 20",
     "allowed_hosts": r"""

@@ -32,15 +32,20 @@ def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
 
 
-def write_snapshot(tables: dict[str, DataFrame], path: str) -> DataFrame:
-    """Parquet tables and a manifest (table, n, digest) written last; a snapshot without a manifest isn't one."""
+def _table_row(df: DataFrame, name: str) -> DataFrame:
+    """One row (table, n, digest) of a table, also of one without rows."""
     from quillspark.operators.sets import group_digests
 
+    return group_digests(df, [], df.columns).select(F.lit(name).alias("table"), "n", "digest")
+
+
+def write_snapshot(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """Parquet tables and a manifest (table, n, digest) written last; a snapshot without a manifest isn't one."""
     spark = next(iter(tables.values())).sparkSession
     manifest = None
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{path}/{name}")
-        row = group_digests(spark.read.parquet(f"{path}/{name}").withColumn("table", F.lit(name)), ["table"], df.columns)
+        row = _table_row(spark.read.parquet(f"{path}/{name}"), name)
         manifest = row if manifest is None else manifest.unionByName(row)
     manifest.write.mode("errorifexists").parquet(f"{path}/manifest")
     return spark.read.parquet(f"{path}/manifest")
@@ -48,13 +53,10 @@ def write_snapshot(tables: dict[str, DataFrame], path: str) -> DataFrame:
 
 def verify_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """Rows (table, ok) of a snapshot held against its manifest."""
-    from quillspark.operators.sets import group_digests
-
     manifest = spark.read.parquet(f"{path}/manifest")
     out = None
     for r in manifest.collect():  # one row a table
         df = spark.read.parquet(f"{path}/{r['table']}")
-        now = group_digests(df.withColumn("table", F.lit(r["table"])), ["table"], df.columns)
-        row = now.select("table", ((F.col("n") == r["n"]) & (F.col("digest") == r["digest"])).alias("ok"))
+        row = _table_row(df, r["table"]).select("table", ((F.col("n") == r["n"]) & (F.col("digest") == r["digest"])).alias("ok"))
         out = row if out is None else out.unionByName(row)
     return out

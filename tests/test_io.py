@@ -57,9 +57,14 @@ def test_exports(spark, tmp_path):
 def test_snapshot(spark, tmp_path):
     path = str(tmp_path / "s")
     SI.write_snapshot({"t": spark.range(100).withColumn("v", F.col("id") * 2), "u": spark.range(0)}, path)
-    assert {r.table: r.ok for r in SI.verify_snapshot(spark, path).collect()} == {"t": True}
+    assert {r.table: r.ok for r in SI.verify_snapshot(spark, path).collect()} == {"t": True, "u": True}
+    spark.range(3).write.mode("overwrite").parquet(f"{path}/u")
+    assert {r.table: r.ok for r in SI.verify_snapshot(spark, path).collect()} == {"t": True, "u": False}
+    spark.range(0).write.mode("overwrite").parquet(f"{path}/u")
+    spark.range(0).withColumn("v", F.col("id") * 2).write.mode("overwrite").parquet(f"{path}/t")
+    assert {r.table: r.ok for r in SI.verify_snapshot(spark, path).collect()} == {"t": False, "u": True}
     spark.range(99).withColumn("v", F.col("id") * 2).write.mode("overwrite").parquet(f"{path}/t")
-    assert not SI.verify_snapshot(spark, path).first().ok
+    assert not SI.verify_snapshot(spark, path).where("table = 't'").first().ok
 
 
 def test_streams(spark, tmp_path):

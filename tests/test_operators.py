@@ -87,7 +87,7 @@ def test_cells_and_terms(spark):
 
 
 def test_results(spark):
-    kinds = {"5,1": "numeric_exact", "= 5.1": "numeric_exact", "<5": "numeric_censored", "≥ 5e3": "numeric_censored", "pos": "qualitative", "++": "semiquantitative", "1:40": "semiquantitative", "cancelled": "no_result", "": "no_result", None: "no_result", "1.000,5": "text_unparsed", "x" * 9999: "text_unparsed"}
+    kinds = {"5,1": "numeric_exact", "= 5.1": "numeric_exact", "<5": "numeric_censored", "≥ 5e3": "numeric_censored", " Positive ": "qualitative", "положительный": "qualitative", "++": "semiquantitative", "+++++": "text_unparsed", "1:40": "semiquantitative", "1 : 2": "text_unparsed", "pending": "text_unparsed", "-": "text_unparsed", "отменён": "no_result", "invalid specimen": "no_result", "cancelled": "no_result", "": "no_result", None: "no_result", "1.000,5": "text_unparsed", "x" * 9999: "text_unparsed"}
     df = spark.createDataFrame([(k,) for k in kinds], "t string")
     assert [r[0] for r in df.select(N.result_kind(F.col("t"))).collect()] == list(kinds.values())
 
