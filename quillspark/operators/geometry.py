@@ -63,3 +63,39 @@ def rotated(df: DataFrame, degrees: int) -> DataFrame:
     x, y, w, h = (F.col(c) for c in BOX)
     turned = {0: (x, y, w, h), 90: (1 - y - h, x, h, w), 180: (1 - x - w, 1 - y - h, w, h), 270: (y, 1 - x - w, h, w)}[degrees % 360]
     return df.withColumns(dict(zip(BOX, turned, strict=True)))
+
+
+def uncovered(blocks: DataFrame, regions: DataFrame, keys: list[str], block: str, region: str, share: float = 0.95) -> DataFrame:
+    """Blocks of which no region of the same page covers a share; blocks on pages without regions too."""
+    covered = contained(blocks, regions, keys, block, region, share).select(*keys, block).distinct()
+    return blocks.join(covered, [*keys, block], "left_anti")
+
+
+def nearest_pairs(bands: DataFrame, results: DataFrame, keys: list[str], line: str, band: str, result: str, reach: int = 4) -> DataFrame:
+    """Pairs (keys, band, result, lines) where each is the other's one nearest within so many lines; ties pair nothing.
+
+    A band meets only the results of the lines around it: both sides are joined on the page and the line.
+    """
+    near = F.explode(F.sequence(F.col(line) - reach, F.col(line) + reach))
+    a = bands.select(*keys, band, F.col(line).alias("_a"), near.alias("_line"))
+    pairs = a.join(results.select(*keys, result, F.col(line).alias("_line")), [*keys, "_line"]).withColumn("lines", F.abs(F.col("_line") - F.col("_a")))
+    best = lambda one: pairs.groupBy(*keys, one).agg(F.min("lines").alias("lines"))
+    only = lambda one: pairs.join(best(one), [*keys, one, "lines"]).groupBy(*keys, one).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+    mutual = pairs.join(best(band), [*keys, band, "lines"]).join(best(result), [*keys, result, "lines"])
+    return mutual.join(only(band), [*keys, band], "left_semi").join(only(result), [*keys, result], "left_semi").select(*keys, band, result, "lines")
+
+
+def bound_issues(issues: DataFrame, rows: DataFrame, keys: list[str], issue: str, row: str, tolerance: float = 0.5) -> DataFrame:
+    """Rows (keys, issue, row, how): rows at an issue's table row, else on its line, else in its vertical band of the page.
+
+    issues and rows have table_row, line, y and height, null where they don't have such a place. The first way that finds a row counts.
+    """
+    i = issues.select(*keys, issue, *(F.col(c).alias(f"i_{c}") for c in ("table_row", "line", "y", "height")))
+    r = rows.select(*keys, row, "table_row", "line", "y", "height")
+    joined = i.join(r, keys)
+    overlap = F.least(F.col("i_y") + F.col("i_height"), F.col("y") + F.col("height")) - F.greatest("i_y", "y")
+    how = F.when(F.col("i_table_row") == F.col("table_row"), 1).when(F.col("i_line") == F.col("line"), 2).when(overlap >= tolerance * F.least("i_height", "height"), 3)
+    found = joined.withColumn("_how", how).where("_how is not null")
+    first = found.groupBy(*keys, issue).agg(F.min("_how").alias("_how"))
+    names = F.when(F.col("_how") == 1, "table_row").when(F.col("_how") == 2, "line").otherwise("band")
+    return found.join(first, [*keys, issue, "_how"]).select(*keys, issue, row, names.alias("how"))

@@ -63,6 +63,36 @@ def neighbours(df: DataFrame, key: str, at: str, carry: list[str] = (), previous
     )
 
 
+def order_buckets(df: DataFrame, order: str, parts: int = 200) -> Column | None:
+    """A number that grows with a column of numbers, days or times, so that each has a like share of all rows; 0 for nulls.
+
+    The bounds are approximate percentiles (parts numbers); where they fall changes no result. None for other types.
+    """
+    if not any(dict(df.dtypes)[order].startswith(t) for t in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "date", "timestamp")):
+        return None
+    found = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).first()[0]
+    return F.size(F.filter(F.array(*(F.lit(x) for x in sorted(set(found or [])))), lambda b: b <= F.col(order))) if found else F.lit(0)
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:
+    """df with the sum of a value over a key's rows up to each row, in order; nulls sort first and add nothing.
+
+    Two levels: inside buckets of the first order column, and over the buckets of a key, of which there are at most 200.
+    """
+    bucket = order_buckets(df, order[0])
+    rows = df.withColumn("_value", value).withColumn("_bucket", F.lit(0) if bucket is None else F.coalesce(F.when(F.col(order[0]).isNull(), -1).otherwise(bucket), F.lit(0)))
+    inner = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_bucket").alias("_b")).agg(F.sum("_value").alias("_sum"))
+    outer = Window.partitionBy(*(f"_k{i}" for i in range(len(keys)))).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_earlier", F.sum("_sum").over(outer)).drop("_sum")
+    same = F.col("_bucket") == F.col("_b")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = rows.withColumn("_inside", F.sum("_value").over(inner)).join(sums, same)
+    total = F.when(F.col("_inside").isNull() & F.col("_earlier").isNull(), None).otherwise(F.coalesce("_inside", F.lit(0)) + F.coalesce("_earlier", F.lit(0)))
+    return joined.withColumn(out, total).drop("_value", "_bucket", "_inside", "_b", "_earlier", *(f"_k{i}" for i in range(len(keys))))
+
+
 def change_events(df: DataFrame, key: str, at: str, attributes: list[str], carry: list[str] = ()) -> DataFrame:
     """The events (key, at, event, attributes) of an entity's reports: inserted, changed.
 

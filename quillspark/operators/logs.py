@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.history import order_buckets, running
+
 
 def latest(df: DataFrame, keys: list[str], order: str, columns: list[str], where: Column | None = None) -> DataFrame:
     """The columns of the row with the highest order of each key; the order of arrival decides, not a timestamp."""
@@ -19,10 +21,10 @@ def latest(df: DataFrame, keys: list[str], order: str, columns: list[str], where
 def version_numbers(df: DataFrame, key: str, content: str, order: str) -> DataFrame:
     """Rows (key, content, first_seen, version_no): contents numbered in order of first arrival; one that comes back keeps its number.
 
-    The window numbers the distinct contents of a key, after they were combined.
+    The distinct contents of a key are numbered in two levels, after they were combined.
     """
     firsts = df.groupBy(key, content).agg(F.min(order).alias("first_seen"))
-    return firsts.withColumn("version_no", F.row_number().over(Window.partitionBy(key).orderBy("first_seen")))
+    return running(firsts, [key], ["first_seen"], F.lit(1), "version_no")
 
 
 def chain_breaks(df: DataFrame, key: str, sequence: str, token: str, previous: str) -> DataFrame:
@@ -43,17 +45,22 @@ def chain_breaks(df: DataFrame, key: str, sequence: str, token: str, previous: s
 def chronology(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """Rows (key, n, ordered): whether a key's periods follow each other without touching, in order of their start.
 
-    The window sorts the periods of one key.
+    Two levels: inside buckets of the start, and over one row a bucket, so no task sorts all periods of a hot key.
     """
-    last = F.lag(end).over(Window.partitionBy(key).orderBy(start, end))
-    rows = df.withColumn("_clash", F.coalesce(last >= F.col(start), F.lit(False)) | F.col(start).isNull() | F.col(end).isNull())
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), (~F.bool_or("_clash")).alias("ordered"))
+    bucket = order_buckets(df, start)
+    rows = df.select(key, start, end, (F.lit(0) if bucket is None else bucket).alias("_b"))
+    last = F.lag(end).over(Window.partitionBy(key, "_b").orderBy(start, end))
+    rows = rows.withColumn("_clash", F.coalesce(last >= F.col(start), F.lit(False)) | F.col(start).isNull() | F.col(end).isNull())
+    place = F.struct(start, end)
+    parts = rows.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("n"), F.bool_or("_clash").alias("_clash"), F.min(place).alias("_first"), F.max(place).alias("_last"))
+    before = F.lag(F.col("_last")[end]).over(Window.partitionBy(key).orderBy("_b"))
+    parts = parts.withColumn("_clash", F.col("_clash") | F.coalesce(before >= F.col("_first")[start], F.lit(False)))
+    return parts.groupBy(key).agg(F.sum("n").alias("n"), (~F.bool_or("_clash")).alias("ordered"))
 
 
 def over_budget(df: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
-    """df with running (the sum of size up to the row) and over (whether it is above the budget). The window runs over a key."""
-    running = F.sum(size).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("running", running).withColumn("over", F.col("running") > budget)
+    """df with running (the sum of size up to the row) and over (whether it is above the budget), see history.running."""
+    return running(df, [key], [order], F.col(size), "running").withColumn("over", F.col("running") > budget)
 
 
 def one_to_one(old: DataFrame, new: DataFrame, keys: list[str], old_id: str, new_id: str) -> DataFrame:

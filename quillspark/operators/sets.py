@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.history import running
+
 
 def set_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (keys, side, n) of keys that only one side has (only_left, only_right) or has in another number (unequal)."""
@@ -60,8 +62,8 @@ def prefix_breaks(base: DataFrame, current: DataFrame, order: str, columns: list
 
 
 def ordinals(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """df with ordinal, from 0 in order within each group. The window numbers the rows of one group."""
-    return df.withColumn("ordinal", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
+    """df with ordinal, from 0 in order within each group, numbered in two levels (see history.running)."""
+    return running(df, group, order, F.lit(1), "ordinal").withColumn("ordinal", F.col("ordinal") - 1)
 
 
 def snapshot_check(entries: DataFrame, snapshots: DataFrame, key: str, size: str) -> DataFrame:

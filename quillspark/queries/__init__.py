@@ -1,5 +1,5 @@
 """Registered queries and their SQL."""
 
-from quillspark.queries import clinical, problems, structure, texts, values
+from quillspark.queries import clinical, contracts, problems, structure, texts, values
 
-MODULES = [problems, texts, values, structure, clinical]
+MODULES = [problems, texts, values, structure, clinical, contracts]

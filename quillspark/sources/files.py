@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -109,6 +110,46 @@ def guidance_registry(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: raw.select(F.inline(name)) for name in ("documents", "relations")}
 
 
+PROVENANCE = "struct<canonical_url:string,retrieved_at:timestamp,content_sha256:string,locator:string,publisher_document_id:string>"
+RECOMMENDATION = "recommendation_id string, document_id string, recommendation_key string, decision_key string, population_key string, verbatim_text string, native_grade_system string, native_grade string, native_strength string, native_certainty string, direction string, position_key string, applies_from date, applies_until date, jurisdictions array<string>, topic string"
+PORTAL = "source_id string, issuer string, authority_tier string, index_url string, access_mode string, canonical_hosts array<string>, domains array<string>, jurisdictions array<string>, document_kinds array<string>, status_signals array<string>, languages array<string>, browser_fallback boolean, review_interval_days int, priority int"
+
+
+def _nested(fields: str) -> str:
+    return "array<struct<" + ",".join(f.strip().replace(" ", ":", 1) for f in re.split(r",(?![^<]*>)", fields)) + ">>"
+
+
+def guidance_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables documents, relations and recommendations of JSON files of guidance, with their provenance.
+
+    Fields of other names are left out; a list that is missing gives an empty table.
+    """
+    parts = {"documents": f"{DOCUMENT}, status_changed_on date, provenance {PROVENANCE}", "relations": RELATION, "recommendations": f"{RECOMMENDATION}, provenance {PROVENANCE}"}
+    raw = spark.read.schema(", ".join(f"{n} {_nested(f)}" for n, f in parts.items())).option("multiLine", "true").json(path)
+    return {name: raw.select(F.inline(name)) for name in parts}
+
+
+def source_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """The sources of a JSON catalogue, each with the sorted rules it breaks: no id, one that stands twice, lists that
+    are empty or repeat a value, no interval of review."""
+    from quillspark.operators.sets import violated
+
+    rows = spark.read.schema(f"sources {_nested(PORTAL)}").option("multiLine", "true").json(path).select(F.inline("sources"))
+    twice = rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    listed = lambda c: (F.size(c) > 0) & (F.size(F.array_distinct(c)) == F.size(c))
+    rules = violated({
+        "id_missing": F.trim("source_id") != "", "id_twice": F.col("_n").isNull(), "hosts": listed("canonical_hosts"), "domains": listed("domains"), "jurisdictions": listed("jurisdictions"), "review_interval": F.col("review_interval_days") > 0,
+    })
+    return rows.join(twice, "source_id", "left").withColumn("rules", rules).drop("_n")
+
+
+def recorded_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (page, position, source_id, title, url, published_at) of recorded result pages in any file system."""
+    item = "array<struct<source_id:string,title:string,url:string,published_at:string>>"
+    raw = spark.read.schema(f"page int, items {item}").option("multiLine", "true").json(path)
+    return raw.select(F.coalesce("page", F.lit(0)).alias("page"), F.posexplode("items").alias("position", "i")).select("page", "position", "i.*")
+
+
 class RecordedPages(DataSource):
     """Recorded result pages of a search service as a table: one JSON file a page, one partition a file."""
 

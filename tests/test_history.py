@@ -4,7 +4,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import functions as F
 
 from quillspark.operators.guidelines import canonical_status, canonical_version
-from quillspark.operators.history import neighbours, report_history, snapshot_history
+from quillspark.operators.history import neighbours, report_history, running, snapshot_history
 
 SCHEMA = "id string, at timestamp, seq bigint, a string, b string, _period string, valid_to string"
 
@@ -85,3 +85,18 @@ def test_plan_of_report_history(spark):
     assert out.count() == 60
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert 0 < plan.count("Exchange hashpartitioning") <= 10 and "ArrowEvalPython" not in plan
+
+
+def test_running_in_buckets(spark):
+    """Sums and numbers over a hot key are the same as over one sorted list, with nulls, ties of buckets and a null key."""
+    rng = random.Random(1)
+    rows = [(rng.choice(["hot"] * 4 + ["x", None]), i if i % 50 else None, rng.choice([1, 2, None])) for i in rng.sample(range(2000), 900)]
+    got = {}
+    for r in running(spark.createDataFrame(rows, "k string, o int, v int"), ["k"], ["o"], F.col("v"), "s").collect():
+        got.setdefault(r.k, []).append((r.o, r.s))
+    for k, found in got.items():
+        total = sum(v or 0 for kk, o, v in rows if kk == k and o is None)
+        for o, s in sorted((x for x in found if x[0] is not None)):
+            total += sum(v or 0 for kk, oo, v in rows if kk == k and oo == o)
+            assert (s or 0) == total
+    assert sum(map(len, got.values())) == len(rows)

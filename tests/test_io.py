@@ -96,3 +96,38 @@ def test_abstracts(spark):
     xml = '<A><Abstract><AbstractText Label="AIM">x</AbstractText><AbstractText Label="RESULT">y</AbstractText></Abstract></A>'
     rows = FI.abstract_sections(spark.createDataFrame([(1, xml), (2, None), (3, "no xml")], "k int, x string"), "k", "x").collect()
     assert [(r.k, r.position, r.label, r.text) for r in rows] == [(1, 0, "AIM", "x"), (1, 1, "RESULT", "y")]
+
+
+def test_guidance_tables(spark, tmp_path):
+    doc = {"document_id": "d1", "title": "T", "status_changed_on": "2024-03-01", "provenance": {"canonical_url": "https://x.example", "retrieved_at": "2024-02-01T00:00:00Z"}}
+    rec = {"recommendation_id": "r1", "document_id": "d1", "direction": "for", "applies_from": "2024-01-01", "jurisdictions": ["EU"]}
+    (tmp_path / "g.json").write_text(json.dumps({"documents": [doc], "recommendations": [rec, rec]}, indent=1))
+    tables = FI.guidance_tables(spark, str(tmp_path / "g.json"))
+    assert tables["documents"].first().provenance.canonical_url == "https://x.example" and str(tables["documents"].first().status_changed_on) == "2024-03-01"
+    assert tables["recommendations"].count() == 2 and str(tables["recommendations"].first().applies_from) == "2024-01-01" and tables["relations"].count() == 0
+
+
+def test_source_catalogue(spark, tmp_path):
+    good = {"source_id": "a", "canonical_hosts": ["a.example"], "domains": ["all"], "jurisdictions": ["GLOBAL"], "review_interval_days": 30}
+    (tmp_path / "c.json").write_text(json.dumps({"sources": [good, {**good, "source_id": "b", "domains": ["x", "x"]}, {**good, "source_id": "c", "canonical_hosts": []}, {**good, "source_id": "c", "review_interval_days": 0}]}))
+    got = sorted((r.source_id, tuple(r.rules)) for r in FI.source_catalogue(spark, str(tmp_path / "c.json")).collect())
+    assert got == [("a", ()), ("b", ("domains",)), ("c", ("hosts", "id_twice")), ("c", ("id_twice", "review_interval"))]
+
+
+def test_recorded_page_files(spark, tmp_path):
+    for p in (1, 2):
+        (tmp_path / f"page{p}.json").write_text(json.dumps({"page": p, "items": [{"source_id": f"s{p}{i}"} for i in range(2)]}))
+    got = FI.recorded_pages(spark, str(tmp_path)).orderBy("page", "position").collect()
+    assert [(r.page, r.position, r.source_id) for r in got] == [(1, 0, "s10"), (1, 1, "s11"), (2, 0, "s20"), (2, 1, "s21")]
+
+
+def test_checkpoints_need_a_shared_folder():
+    """Off a local master nothing falls back on a folder of one machine."""
+    from types import SimpleNamespace as Fake
+
+    from quillspark.session import ensure_checkpoint_dir
+
+    jsc = Fake(sc=lambda: Fake(getCheckpointDir=lambda: Fake(isDefined=lambda: False)))
+    spark = Fake(sparkContext=Fake(_jsc=jsc, master="spark://x:7077", getConf=lambda: {}))
+    with pytest.raises(ValueError, match="shared"):
+        ensure_checkpoint_dir(spark)
