@@ -102,9 +102,38 @@ def bin_types(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[
     return [(bins, contents) for bins, _, contents in groups.values()]
 
 
-def pack(items: DataFrame, key: str, tokens: str, capacity: int) -> DataFrame:
+def harmonic_types(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Bin types by reciprocal-capacity classes: lengths of which k fit into a container share bins of k texts, longest first."""
+    classes: dict[int, list[int]] = {}
+    for size in sorted(histogram, reverse=True):
+        classes.setdefault(capacity // size, []).append(size)
+    out = []
+    for k, sizes in classes.items():
+        started, held = [], 0
+        for size in sizes:
+            left = histogram[size]
+            if held:
+                take = min(k - held, left)
+                started, held, left = [*started, (size, take)], held + take, left - take
+                if held == k:
+                    out.append((1, started))
+                    started, held = [], 0
+            if left >= k:
+                out.append((left // k, [(size, k)]))
+            if left % k:
+                started, held = [(size, left % k)], left % k
+        if held:
+            out.append((1, started))
+    return out
+
+
+METHODS = {"refined": bin_types, "harmonic": harmonic_types}
+
+
+def pack(items: DataFrame, key: str, tokens: str, capacity: int, method: str = "refined") -> DataFrame:
     """An assignment (key, part, token_from, token_to, container, slot_from) of texts to containers of so many tokens.
 
+    method is refined (a class for each length, bins shared by several classes) or harmonic (reciprocal-capacity classes).
     items has one row a text; key should be unique (of texts with equal keys and sizes any may come first). part counts
     the pieces of a split text from 0; tokens token_from (included) to token_to (excluded) of the text stand in the
     container from slot_from on. Texts that are null or have no tokens need no container and give no row. An empty
@@ -122,7 +151,7 @@ def pack(items: DataFrame, key: str, tokens: str, capacity: int) -> DataFrame:
     offsets = counts.select("size", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     spans, next_rank, first = [], dict.fromkeys(histogram, 0), 0
-    for bins, contents in bin_types(histogram, capacity):
+    for bins, contents in METHODS[method](histogram, capacity):
         slot = 0
         for size, each in contents:
             a = next_rank[size]

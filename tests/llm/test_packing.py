@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspark.llm.packing import TOKENIZER, Counter, _encoding, bin_types, pack, token_counts
+from quillspark.llm.packing import TOKENIZER, Counter, _encoding, bin_types, harmonic_types, pack, token_counts
 
 
 @settings(max_examples=100, deadline=None)
@@ -74,3 +74,25 @@ def test_counts_are_the_tokenizers(spark):
 @given(st.text(alphabet=" ab\n.'é1\t\xa0", max_size=60))
 def test_counting_by_pieces(text):
     assert Counter(TOKENIZER).count(text) == len(_encoding(TOKENIZER).encode_ordinary(text))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 50), st.integers(1, 200), max_size=30))
+def test_harmonic_types_hold_all(histogram):
+    """Every bin holds texts of one class only, as many as the class says but for one bin a class."""
+    held, short = Count(), Count()
+    for bins, contents in harmonic_types(histogram, 50):
+        kinds = {50 // s for s, _ in contents}
+        assert bins > 0 and len(kinds) == 1 and sum(s * n for s, n in contents) <= 50
+        short[min(kinds)] += bins * (sum(n for _, n in contents) < min(kinds))
+        for s, n in contents:
+            held[s] += bins * n
+    assert held == Count(histogram) and max(short.values(), default=0) <= 1
+
+
+def test_harmonic_packing(spark):
+    rng = random.Random(2)
+    sizes = {i: rng.choice([0, 7, rng.randint(1, 100), rng.randint(1, 900)]) for i in range(1500)}
+    df = spark.createDataFrame(list(sizes.items()), "id int, tokens int")
+    filled = {m: check([tuple(r) for r in pack(df, "id", "tokens", 256, m).collect()], sizes, 256) for m in ("harmonic", "refined")}
+    assert 0.6 < filled["harmonic"] < filled["refined"]
