@@ -284,7 +284,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str, text: str, item_key:
     """
     spark = documents.sparkSession
     usable = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_key).cast("bigint").alias("i"), F.col(item_text).alias("t")).groupBy("i").agg(F.min("t").alias("t"))
-    rows = bounded_rows(usable, broadcast_items, "items")
+    rows = bounded_rows(usable, broadcast_items, "items", F.length("t"))
     texts = documents.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("_t"))
     if rows is None:
         return _leaks_by_join(texts, usable, key, item_key)
