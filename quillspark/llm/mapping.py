@@ -259,7 +259,9 @@ def map_names(
     rows alike; an empty list gives nulls. Ties go to the more often used key, then to the first base in order.
     """
     spark = typed.sparkSession
-    rows = bounded_rows(reference, broadcast_limit, "reference")
+    # a name of n letters has some n * n deletions
+    letters = F.aggregate(F.concat(F.array("name"), F.coalesce("synonyms", F.array().cast("array<string>"))), F.lit(0).cast("bigint"), lambda n, x: n + F.coalesce(F.length(x), F.lit(0)) * F.least(F.coalesce(F.length(x), F.lit(0)), F.lit(MOST_LETTERS)))
+    rows = bounded_rows(reference, broadcast_limit, "reference", letters)
     if rows is None:
         return _map_by_join(typed, text, reference, usage, out)
     counts = {r["key"]: r["n"] for r in usage.join(F.broadcast(reference.select("key").distinct()), "key").collect()}
