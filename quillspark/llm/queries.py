@@ -9,7 +9,7 @@ from quillspark.llm.leakage import leaks
 from quillspark.llm.linkage import address_key, link, records, resolver_id
 from quillspark.llm.mapping import map_names, reference_rows
 from quillspark.llm.packing import pack, token_counts
-from quillspark.llm.reading import reading_levels
+from quillspark.llm.reading import MAX_LABELS, reading_levels
 from quillspark.operators.times import normal_time
 from quillspark.session import table
 
@@ -56,9 +56,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """The reading level of every document of at least 40 words that has no editor's label."""
     documents, labels = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "reading_labels")
-    rest = documents.join(labels.select("doc_id"), "doc_id", "left_anti")
-    levels = reading_levels(rest, documents.join(labels, "doc_id"), "text", "reading_level", min_words=40)
-    return levels.where("reading_level is not null").select("doc_id", F.col("reading_level").cast("bigint"))
+    picked = labels.where("reading_level is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELS)
+    levels = reading_levels(documents, documents.join(F.broadcast(picked), "doc_id"), "text", "reading_level", min_words=40)
+    found = levels.where("reading_level is not null").select("doc_id", F.col("reading_level").cast("bigint"))
+    return found.join(labels.select("doc_id"), "doc_id", "left_anti")  # ids and levels meet the labels, no texts
 
 
 QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_assignment": p6_assignment, "p7_found": p7_found, "p8_found": p8_found}
