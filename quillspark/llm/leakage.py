@@ -308,6 +308,62 @@ def without_leaks(documents: DataFrame, found: DataFrame, key: str) -> DataFrame
     return documents.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
 
 
+#: Words in a row that a stretch of a text shares with an item at least, to be cut out.
+SPAN = 5
+_PIECE = re.compile(r"<[^>]{1,200}>|&\w{2,8};|[^\W_](?:[^\W_]|[\u00ad\u200b-\u200d\u2060\ufeff]|-\s*\n\s*(?=\w))*")
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+def shared_spans(text: str, item: str) -> list[tuple[int, int]]:
+    """The stretches (start, end in characters) of a text of at least SPAN words in a row whose windows all stand in an item."""
+    told = set(windows(words(item)))
+    at = [(m.start(), m.end(), w[0]) for m in _PIECE.finditer(text) if m[0][0] not in "<&" and (w := words(m[0]))]
+    ws, out, k = [w for *_, w in at], [], 0
+    while k + N <= len(ws):
+        e = k
+        while e + N <= len(ws) and tuple(ws[e : e + N]) in told:
+            e += 1
+        if e > k and e - k + N - 1 >= SPAN:
+            out.append((at[k][0], at[e + N - 2][1]))
+        k = max(e + N - 1, k + 1) if e > k else k + 1
+    return out
+
+
+@F.pandas_udf(SPANS)
+def _spans(text: pd.Series, item: pd.Series) -> pd.Series:
+    return pd.Series([shared_spans(t, i) for t, i in zip(text, item, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
+    out = []
+    for t, found in zip(text, spans, strict=True):
+        kept, at = [], 0
+        for a, b in sorted((s["start"], s["end"]) for s in found) if t is not None and found is not None else ():
+            kept, at = [*kept, t[at : max(at, a)]], max(at, b)
+        out.append(None if t is None else "".join([*kept, t[at:]]))
+    return pd.Series(out, dtype=object)
+
+
+def leaked_spans(documents: DataFrame, found: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str) -> DataFrame:
+    """Rows (key, item_key, start, end): where in the documents found (see leaks) the item stands, in characters.
+
+    Only stretches of SPAN words in a row are given, so single words that were changed lie between two of them. Only the
+    documents found are read; only their texts and the items' meet. Null and empty texts have no spans.
+    """
+    pairs = found.join(items.select(F.col(item_key), F.col(item_text).alias("_item")), item_key)
+    texts = documents.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("_t")).join(found.select(key).distinct(), key, "left_semi")
+    return texts.join(pairs, key).where(F.col("_item").isNotNull()).select(key, item_key, F.inline(_spans("_t", "_item"))).distinct()
+
+
+def without_spans(documents: DataFrame, spans: DataFrame, key: str, text: str) -> DataFrame:
+    """documents with the spans (key, start, end) cut out of their texts; all other texts and columns stay as they are."""
+    per_text = spans.groupBy(F.col(key).alias("_gone")).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    joined = documents.join(per_text, F.col(key) == F.col("_gone"), "left")
+    cut_out = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(_without(F.col(text), F.coalesce("_spans", F.array().cast(SPANS))))
+    return joined.withColumn(text, cut_out).select(*documents.columns)
+
+
 def _hashes(ws: list[str]) -> list[int]:
     import xxhash
 

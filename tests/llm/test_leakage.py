@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quillspark.llm.leakage import Items, Scanner, case_texts, leaks, without_leaks, words
+from quillspark.llm.leakage import Items, Scanner, case_texts, leaked_spans, leaks, shared_spans, without_leaks, without_spans, words
 
 NAMES = ["Brandol", "Teskim", "Olfrad", "Vandrup", "Kespil", "Nortum", "Wexlar", "Quinbo", "Zarlet", "Hupfen"]
 
@@ -131,3 +131,23 @@ def test_short_and_long_cases(spark, limit):
     docs = spark.createDataFrame([(1, FILL + " ZERRIN counted nine\nblue barges. " + FILL), (2, FILL + " Zerrin counted nine old barges. " + FILL), (3, FILL + " " + part), (4, "two words"), (5, " ".join(long.split()[:2000]))], "doc_id bigint, text string")
     got = sorted((r.doc_id, r.item_id) for r in leaks(docs, items, "doc_id", "text", "item_id", "text", broadcast_items=limit).collect())
     assert got == [(1, 500), (1, 501), (3, 502)]
+
+
+def test_spans(spark):
+    """What is cut out of the documents found is the item's stretches; nothing is found in what is left."""
+    t = "no, one two three four five six seven <b>eight</b> no"
+    assert shared_spans(t, "One, two: three four five six seven eight nine") == [(4, t.index("</b>"))]
+    assert shared_spans("one two three four", "one two three four") == [] and shared_spans("", "a") == []
+    docs = spark.createDataFrame([*((k, t, "x") for k, (t, _) in DOCS.items())], "doc_id bigint, text string, kind string")
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    found = leaks(docs, items, "doc_id", "text", "item_id", "text")
+    spans = leaked_spans(docs, found, items, "doc_id", "text", "item_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert spans.count() > 0 and all(0 <= r.start < r.end <= len(texts[r.doc_id]) for r in spans.collect())
+    rest = without_spans(docs, spans, "doc_id", "text")
+    hit = {r.doc_id for r in found.collect()}
+    left = {r.doc_id: r.text for r in rest.collect()}
+    assert rest.columns == docs.columns and all(left[k] == t for k, t in texts.items() if k not in hit)
+    assert all(len(left[r.doc_id]) < len(texts[r.doc_id]) for r in spans.collect())
+    assert leaks(rest, items, "doc_id", "text", "item_id", "text").count() == 0
+    assert leaked_spans(docs, found.limit(0), items, "doc_id", "text", "item_id", "text").count() == 0
