@@ -116,6 +116,13 @@ SQL = {
         WITH l AS ({NUMBERED}), c AS (SELECT *, regexp_matches(line, '{_KEYED}') AS f FROM l WHERE NOT regexp_full_match(line, '\\s*'))
         SELECT doc_id, line_no, CASE WHEN f THEN 'field' ELSE 'statement' END AS kind, CASE WHEN f THEN regexp_extract(line, '{_KEYED}', 1) ELSE '' END AS field_name,
         length(CASE WHEN f THEN regexp_extract(line, '{_KEYED}', 2) ELSE trim(line, ' ') END) AS n_chars FROM c""",
+    "delimited_cells": f"""
+        WITH l AS ({NUMBERED}), b AS (SELECT *, regexp_full_match(line, '\\s*') AS blank, max(line_no) OVER (PARTITION BY doc_id) AS last FROM l),
+        h AS (SELECT doc_id, arg_min(line, line_no) AS head, min(line_no) AS first FROM b WHERE NOT blank GROUP BY doc_id),
+        n AS (SELECT *, list_transform([chr(9), ';', ',', '|'], lambda c: length(head) - length(replace(head, c, ''))) AS k FROM h),
+        m AS (SELECT doc_id, first, head, [chr(9), ';', ',', '|'][list_position(k, list_max(k))] AS mark FROM n WHERE list_max(k) > 0),
+        r AS (SELECT doc_id, line_no, blank, string_split(head, mark) AS names, string_split(line, mark) AS parts FROM b JOIN m USING (doc_id) WHERE (blank OR line_no > first) AND (line <> '' OR line_no < last))
+        SELECT doc_id, count(*) AS cells, max(i) AS columns FROM (SELECT doc_id, unnest(generate_series(1, least(len(names), len(parts)))) AS i FROM r WHERE NOT blank) GROUP BY doc_id""",
     "delimited_issues": f"""
         WITH l AS ({NUMBERED}), b AS (SELECT *, regexp_full_match(line, '\\s*') AS blank, max(line_no) OVER (PARTITION BY doc_id) AS last FROM l),
         h AS (SELECT doc_id, arg_min(line, line_no) AS head, min(line_no) AS first FROM b WHERE NOT blank GROUP BY doc_id),
