@@ -40,13 +40,19 @@ def canonical_json(text: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def pseudonym(subject: Column, secret: bytes, prefix: str = "subj") -> Column:
-    """prefix_ and 32 hex digits of an HMAC-SHA-256 of the trimmed NFKC form; the secret stays with the caller."""
+def pseudonym(subject: Column, secret: bytes, prefix: str = "subj", namespace: str = "", fold: bool = False, length: int = 32) -> Column:
+    """prefix_ and the first hex digits of an HMAC-SHA-256 of the trimmed NFKC form; the secret stays with the caller.
+
+    A namespace tells equal subjects of different sources apart; fold takes upper and lower case for the same.
+    """
 
     @F.pandas_udf(T.StringType())
     def keyed(s: pd.Series) -> pd.Series:
-        norm = lambda x: unicodedata.normalize("NFKC", x).strip().encode()
-        return pd.Series([None if x is None else f"{prefix}_{hmac.new(secret, norm(x), hashlib.sha256).hexdigest()[:32]}" for x in s], dtype=object)
+        def norm(x: str) -> bytes:
+            bare = unicodedata.normalize("NFKC", x).strip()
+            return (f"{namespace}\0" if namespace else "").encode() + (bare.casefold() if fold else bare).encode()
+
+        return pd.Series([None if x is None else f"{prefix}_{hmac.new(secret, norm(x), hashlib.sha256).hexdigest()[:length]}" for x in s], dtype=object)
 
     return keyed(subject)
 

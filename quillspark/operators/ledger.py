@@ -69,6 +69,24 @@ def unmapped(values: Column, aliases: dict[str, list[str]], known: list[str]) ->
     return F.array_sort(F.array_except(expanded, F.array(*map(F.lit, known))))
 
 
+def code_sets(df: DataFrame, key: str, codes: Column) -> DataFrame:
+    """Rows (key, codes): the sorted different codes of all rows of a key; keys without a code have an empty list.
+
+    codes is a list of few different values, so the set stays small; it is combined before the shuffle.
+    """
+    return df.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(codes)))).alias("codes"))
+
+
+def within_lines(found: DataFrame, line: str, first: Column, last: Column) -> DataFrame:
+    """The findings that stand in lines first to last, both included."""
+    return found.where(F.col(line).between(first, last))
+
+
+def offset_page(df: DataFrame, keys: list[str], recorded: str, as_of: str, start: int, size: int) -> DataFrame:
+    """size rows from a place on, in order, of what had been recorded by an instant: later rows don't shift the pages."""
+    return df.where(F.col(recorded) <= F.to_timestamp(F.lit(as_of))).orderBy(*keys).offset(start).limit(size)
+
+
 def item_digest(df: DataFrame, without: list[str]) -> Column:
     """A digest of all columns but some (such as the time of retrieval), by name, nulls told from empty texts."""
     kept = sorted(c for c in df.columns if c not in without)

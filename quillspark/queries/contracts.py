@@ -11,6 +11,7 @@ from quillspark.operators import findings as FN
 from quillspark.operators import geometry as GEO
 from quillspark.operators import ledger as LE
 from quillspark.operators.logs import latest
+from quillspark.operators.sets import set_difference
 from quillspark.queries.structure import boxes, regions
 from quillspark.session import table
 from quillspark.sources import imports as IM
@@ -229,6 +230,30 @@ def closing_edges(spark, d):
     return LE.closing_edges(edges.where("source > 'gd-00000100'"), new)
 
 
+def coverage_codes(spark, d):
+    """What is wrong with the lines of each import."""
+    lines = table(spark, d, "ingest")
+    blank = lambda c, name: F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) == "", name)
+    codes = F.array_compact(F.array(blank("unit", "unit_missing"), blank("value", "value_missing"), blank("item", "item_missing")))
+    return LE.code_sets(lines, "import_id", codes).select("import_id", F.array_join("codes", ",").alias("codes"))
+
+
+def logged_items(spark, d):
+    """Works that only the earlier or only the later half of the retrievals returned."""
+    e = table(spark, d, "evidence_snapshot").select("evidence_id", F.pmod("seq", F.lit(2)).alias("half")).distinct()
+    return set_difference(e.where("half = 0").select("evidence_id"), e.where("half = 1").select("evidence_id"), ["evidence_id"]).select("evidence_id", "side")
+
+
+def findings_in_lines(spark, d):
+    found = FN.findings(contacts(spark, d), "c_custkey", "note", FN.DIRECT)
+    return LE.within_lines(found, "line_no", F.lit(2), F.lit(2)).select("c_custkey", "kind")
+
+
+def draft_page(spark, d):
+    a = table(spark, d, "private_answers").select("seq", "claim_id", "recorded_at")
+    return LE.offset_page(a, ["seq"], "recorded_at", "2024-01-01 00:00:00", 100, 50).select("seq", "claim_id")
+
+
 # ---- boxes -------------------------------------------------------------------------------------------------------------------------
 
 
@@ -257,7 +282,7 @@ QUERIES = {
     for f in (
         import_rows, import_issues, contact_findings, contact_copies, contact_log, result_checks, time_checks, interval_checks, observed_checks, month_windows, date_shapes, portals, host_bindings, public_urls,
         unit_keys, term_keys, source_identities, reference_relations, byte_pieces, document_version_rows, current_documents, next_versions, snapshot_pages, issue_states, record_page, source_union, limitation_lists,
-        unmapped_domains, item_digests, evidence_latest, search_run_totals, relation_checks, closing_edges, boxes_uncovered, date_pairs, issue_bindings,
+        unmapped_domains, item_digests, evidence_latest, search_run_totals, relation_checks, closing_edges, coverage_codes, logged_items, findings_in_lines, draft_page, boxes_uncovered, date_pairs, issue_bindings,
     )
 }
 
@@ -356,6 +381,12 @@ SQL = {
         WITH RECURSIVE e AS (SELECT DISTINCT source_document_id AS s, target_document_id AS t FROM version_relations WHERE source_document_id > 'gd-00000100' AND target_document_id IS NOT NULL),
         n AS (SELECT DISTINCT target_document_id AS source, source_document_id AS target FROM version_relations WHERE right(source_document_id, 1) IN ('3', '7') AND target_document_id IS NOT NULL),
         reach AS (SELECT DISTINCT target AS f, target AS g FROM n UNION SELECT r.f, e.t FROM reach r JOIN e ON r.g = e.s) SELECT n.source, n.target FROM n SEMI JOIN reach ON n.target = reach.f AND n.source = reach.g""",
+    "coverage_codes": """
+        WITH c AS (SELECT import_id, unnest(['unit_missing', 'value_missing', 'item_missing']) AS code, unnest([trim(coalesce(unit, ''), ' ') = '', trim(coalesce(value, ''), ' ') = '', trim(coalesce(item, ''), ' ') = '']) AS bad FROM ingest)
+        SELECT import_id, coalesce(string_agg(DISTINCT code, ',' ORDER BY code) FILTER (bad), '') AS codes FROM c GROUP BY 1""",
+    "logged_items": "SELECT evidence_id, CASE WHEN bool_or(seq % 2 = 0) THEN 'only_left' ELSE 'only_right' END AS side FROM evidence_snapshot GROUP BY 1 HAVING count(DISTINCT seq % 2) = 1",
+    "findings_in_lines": "SELECT c_custkey, unnest(['labelled_phone', 'international_phone']) AS kind FROM customer",
+    "draft_page": "SELECT seq, claim_id FROM private_answers WHERE recorded_at <= TIMESTAMPTZ '2024-01-01 00:00:00+00' ORDER BY seq LIMIT 50 OFFSET 100",
     "boxes_uncovered": f"""
         WITH {_BOX}, r AS (SELECT region % 2 * 250.0 AS rx, region // 2 * 350.0 AS ry FROM range(4) t(region)),
         a AS (SELECT DISTINCT block FROM b, r WHERE greatest(0, least(x + w, rx + 250) - greatest(x, rx)) * greatest(0, least(y + h, ry + 350) - greatest(y, ry)) >= 0.95 * w * h) SELECT block FROM b ANTI JOIN a USING (block)""",

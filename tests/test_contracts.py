@@ -102,3 +102,18 @@ def test_nearest(spark):
     bands = spark.createDataFrame([(1, 10, "a"), (1, 20, "b"), (1, 40, "t")], "page int, line int, band string")
     results = spark.createDataFrame([(1, 12, "r"), (1, 13, "s"), (1, 25, "u"), (1, 38, "v"), (1, 42, "w")], "page int, line int, result string")
     assert [(r.band, r.result, r.lines) for r in GEO.nearest_pairs(bands, results, ["page"], "line", "band", "result").collect()] == [("a", "r", 2)]
+
+
+def test_pseudonyms(spark):
+    from quillspark.functions.identity import pseudonym
+
+    df = spark.createDataFrame([(" Ａnna ",), ("ANNA",), (None,)], "s string")
+    p = lambda **k: [r[0] for r in df.select(pseudonym(F.col("s"), b"secret", **k)).collect()]
+    plain, folded, spaced = p(), p(fold=True, length=24, prefix="id"), p(namespace="lab")
+    assert plain[0] != plain[1] and folded[0] == folded[1] and len(folded[0]) == 27 and spaced[0] != plain[0] and plain[2] is folded[2] is None
+
+
+def test_code_sets(spark):
+    df = spark.createDataFrame([("a", ["y", "x"]), ("a", ["x"]), ("b", []), ("b", None)], "k string, c array<string>")
+    assert {r.k: r.codes for r in LE.code_sets(df, "k", F.col("c")).collect()} == {"a": ["x", "y"], "b": []}
+    assert LE.offset_page(spark.createDataFrame([(1, "2024-01-01"), (2, "2025-01-01"), (3, "2024-01-01")], "i int, at string").withColumn("at", F.to_timestamp("at")), ["i"], "at", "2024-06-01 00:00:00", 1, 5).count() == 1
